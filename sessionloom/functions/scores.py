@@ -49,6 +49,28 @@ def trend_direction(current: Column, previous: Column) -> Column:
     )
 
 
+def two_decimals(value: Column) -> Column:
+    """Text of a non-negative number with two decimals, rounded from its exact binary value.
+
+    Number formatting on the JVM rounds the shortest decimal form, which differs
+    for values such as 2.675. ``lost`` is the exact part of ``value * 1000`` that
+    the product rounds away; together with the distance to the nearest whole
+    thousandth it tells on which side of a half the value lies, and a true half
+    goes to the even digit.
+    """
+    scaled = value * 134217729.0
+    high = scaled - (scaled - value)
+    product = value * 1000.0
+    lost = (high * 1000.0 - product) + (value - high) * 1000.0
+    whole = F.rint(product)
+    side = (product - whole) + lost
+    below = F.floor(whole / 10.0)
+    up = (side > 0) | ((side == 0) & (below % 2 == 1))
+    halves = (below + up.cast("int")) / 100.0
+    rounded = F.when(F.pmod(whole, F.lit(10.0)) == 5.0, halves).otherwise(F.round(value, 2))
+    return F.format_string("%.2f", rounded)
+
+
 def trend_bars(current: Column, previous: Column, width: int = 20) -> Column:
     """Two labelled bars on a shared scale."""
     scale = F.lit(float(width)) / F.greatest(current, previous, F.lit(1.0))
@@ -56,9 +78,12 @@ def trend_bars(current: Column, previous: Column, width: int = 20) -> Column:
     def bar(value: Column) -> Column:
         return F.repeat(F.lit("█"), (value * scale).cast("int"))
 
+    def number(value: Column) -> Column:
+        return F.format_string("%6s", two_decimals(value))
+
     return F.concat(
-        F.format_string(" Current  %6.2f  ", F.bround(current, 2)), bar(current), F.lit("\n"),
-        F.format_string("Previous  %6.2f  ", F.bround(previous, 2)), bar(previous),
+        F.lit(" Current  "), number(current), F.lit("  "), bar(current), F.lit("\n"),
+        F.lit("Previous  "), number(previous), F.lit("  "), bar(previous),
     )
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionloom.functions.redact import redact_text
+from sessionloom.functions.scores import two_decimals
 from sessionloom.operators import ordered
 from sessionloom.session import cut_lineage
 
@@ -63,7 +64,7 @@ def pieces(entries: DataFrame, order: Sequence[str], preamble: str = PREAMBLE) -
     """
     heading = F.concat(
         F.lit("\n--- Segment "), F.col("segment_no"), F.lit(" (Topic: "), redact_text(F.col("topic")),
-        F.lit(", Confidence: "), F.format_string("%.2f", F.bround("confidence", 2)), F.lit(") ---\n"),
+        F.lit(", Confidence: "), two_decimals(F.col("confidence")), F.lit(") ---\n"),
     )
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     prefix = F.concat(F.lit("["), redact_text(F.col("harness")), F.lit("] "), stamp, F.lit(": "))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.scores import friction_score
+from sessionloom.functions.scores import friction_score, two_decimals
 from sessionloom.operators import ordered
 from sessionloom.operators.patterns import by_impact
 
@@ -47,7 +47,7 @@ def milestones(patterns: DataFrame, events: DataFrame) -> DataFrame:
     from_patterns = patterns.where(F.col("impact_score") > 0.8).select(
         F.concat(
             F.lit("High-impact pattern identified: "), "description",
-            F.format_string(" (score: %.2f)", F.bround("impact_score", 2)),
+            F.lit(" (score: "), two_decimals(F.col("impact_score")), F.lit(")"),
         ).alias("milestone")
     )
     from_events = events.where(F.col("severity") > 0.8).select(

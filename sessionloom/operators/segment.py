@@ -23,22 +23,25 @@ MIN_SIMILARITY = 0.3
 
 def _in_order(entries: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     placed = ordered.row_number(ordered.place(entries, [*keys, *order]), "seq")
-    with_gap = ordered.previous(placed, [order[0], "seq"], keys)
+    return ordered.previous(placed, [order[0], "seq"], keys)
+
+
+def _with_gap(rows: DataFrame, ts: str) -> DataFrame:
     # Whole minutes, truncated: 30:59 is 30, 31:00 is 31.
-    gap = F.timestamp_diff("MINUTE", F.col(f"prev_{order[0]}"), F.col(order[0]))
-    return with_gap.withColumn("gap_minutes", gap).drop(f"prev_{order[0]}")
+    gap = F.timestamp_diff("MINUTE", F.col(f"prev_{ts}"), F.col(ts))
+    return rows.withColumn("gap_minutes", gap).drop(f"prev_{ts}")
 
 
 def gaps(entries: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Entries with truncated minutes since the previous one and the gap-only split flag."""
-    return _in_order(entries, keys, order).withColumn(
+    return _with_gap(_in_order(entries, keys, order), order[0]).withColumn(
         "splits", F.col("prev_seq").isNull() | (F.col("gap_minutes") > MAX_GAP_MINUTES)
     )
 
 
 def similarity(entries: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Entries with the cosine to their predecessor (NULL for the first of a key)."""
-    rows = _in_order(entries, keys, order)
+    rows = _in_order(entries, keys, order).drop(f"prev_{order[0]}")
     cosines = tfidf.neighbour_cosine(tfidf.weights(rows, ["seq"]), "seq")
     return rows.join(cosines, "seq", "left").withColumn(
         "cosine", F.when(F.col("prev_seq").isNotNull(), F.coalesce("cosine", F.lit(0.0)))
@@ -47,7 +50,7 @@ def similarity(entries: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
 def segment(entries: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Entries with ``segment_no`` (from 1, per key) and ``seq`` (global order)."""
-    rows = _in_order(entries, keys, order)
+    rows = _with_gap(_in_order(entries, keys, order), order[0])
     cosines = tfidf.neighbour_cosine(tfidf.weights(rows, ["seq"]), "seq")
     scored = rows.join(cosines, "seq", "left")
     splits = (
