@@ -177,7 +177,7 @@ def opportunities(candidate_rows: DataFrame) -> DataFrame:
         F.col("name").alias("title"),
         F.col("reason").alias("summary"),
         F.lower("priority").alias("priority"),
-        F.round(bounded * 100, 0).cast("int").alias("confidence"),
+        F.round(F.round(bounded, 9) * 100, 0).cast("int").alias("confidence"),
         # The first number of the label, whatever its unit.
         first_number(F.col("estimated_time_saved")).alias("estimated_value"),
         F.lit(1).alias("evidence_count"),
@@ -197,8 +197,8 @@ def backlog(candidate_rows: DataFrame) -> DataFrame:
         F.lit("workflow-friction").alias("category"),
         F.col("name").alias("title"),
         F.col("reason").alias("problem"),
-        F.round("confidence", 2).alias("confidence"),
-        F.round("mutation_fitness", 2).alias("mutation_fitness"),
+        F.round(F.round("confidence", 9), 2).alias("confidence"),
+        F.round(F.round("mutation_fitness", 9), 2).alias("mutation_fitness"),
         F.when(has, F.array_join("existing_matches", ", ")).otherwise("none identified").alias("affected"),
         F.when(has, "extend existing capability").otherwise("create capability").alias("action"),
         F.col("estimated_time_saved").alias("expected_value"),

@@ -11,9 +11,10 @@ What keeps it linear in hot data:
 * identical word sets collapse to one representative before any join;
 * only pairs sharing a rare "prefix" word are compared (two sets with Jaccard
   >= t share one of the |s| - ceil(t|s|) + 1 rarest words of each);
-* inside a round, an item is compared with at most ``RANK_LIMIT`` earlier items
-  per prefix word; items further back wait, and a near-duplicate group is
-  normally absorbed whole by its first member before they are looked at;
+* inside a round, an item is compared with only so many earlier items per prefix
+  word, few at first and up to ``RANK_LIMIT`` later; items further back wait, and
+  a near-duplicate group is normally absorbed whole by its first member before
+  they are looked at;
 * settled leaders meet the remaining items once, on salted words.
 """
 
@@ -27,6 +28,7 @@ from sessionloom.operators.lookups import join_by_key
 from sessionloom.session import cut_and_count, cut_lineage
 
 RANK_LIMIT = 1_000  # Spark applies its per-word limit before the shuffle up to this value
+FIRST_LIMIT = 16
 ROWS_PER_SALT = 50_000
 
 
@@ -130,8 +132,10 @@ def greedy_leaders(
     )
 
     settled = []
+    limit = min(FIRST_LIMIT, rank_limit)
     while undecided_left:
-        chosen_keys = _new_leaders(state.where(open_item), rank_limit)
+        chosen_keys = _new_leaders(state.where(open_item), limit)
+        limit = min(limit * 4, rank_limit)
         flagged = cut_lineage(
             state.join(chosen_keys.withColumn("chosen", F.lit(True)), ["part", "idx"], "left")
         )

@@ -43,6 +43,11 @@ INPUTS = {
                  WHEN 2 THEN 'invented import path in module'
                  WHEN 3 THEN 'lost git branch state'
                  ELSE 'wrong document format returned'
+               END || CASE user_id % 7
+                 WHEN 0 THEN ' planner agenda stage' WHEN 1 THEN ' parser grammar tables'
+                 WHEN 2 THEN ' router policy cache' WHEN 3 THEN ' editor buffer undo'
+                 WHEN 4 THEN ' search index shards' WHEN 5 THEN ' mailer queue digest'
+                 ELSE ' billing ledger export'
                END || ' level ' || CAST(CAST(floor(value / 100) AS INT) AS STRING) AS issue,
                {_K} AS frequency, 'event ' || CAST(event_id AS STRING) AS example
         FROM {{events}} WHERE event_type = 'error'""",

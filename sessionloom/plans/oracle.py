@@ -391,13 +391,13 @@ SELECTS: dict[str, str] = {
         CASE WHEN len(existing_matches) > 0 THEN 'extend ' || array_to_string(existing_matches, ', ') ELSE 'create new capability' END AS action,
         reason AS rationale, CASE WHEN len(existing_matches) > 0 THEN len(existing_matches) ELSE project_count END::BIGINT AS projects FROM cands""",
     "run_envelope": """SELECT id, name AS title, reason AS summary, lower(priority) AS priority,
-        round(greatest(least(confidence, 1.0), 0.0) * 100)::INT AS confidence,
+        round(round(greatest(least(confidence, 1.0), 0.0), 9) * 100)::INT AS confidence,
         coalesce(try_cast(nullif(regexp_extract(estimated_time_saved, '[0-9.]+'), '') AS DOUBLE), 0.0) AS estimated_value,
         1 AS evidence_count, CASE WHEN len(existing_matches) > 0 THEN len(existing_matches) ELSE project_count END::BIGINT AS repositories,
         CASE WHEN len(existing_matches) > 0 THEN 'extend' ELSE 'generate' END AS decision FROM cands""",
     "backlog_export": """SELECT printf('dream-%03d', row_number() OVER (ORDER BY confidence DESC, id)) AS id, upper(priority) AS priority,
-        'workflow-friction' AS category, name AS title, reason AS problem, round(confidence, 2) AS confidence,
-        round(mutation_fitness, 2) AS mutation_fitness,
+        'workflow-friction' AS category, name AS title, reason AS problem, round(round(confidence, 9), 2) AS confidence,
+        round(round(mutation_fitness, 9), 2) AS mutation_fitness,
         CASE WHEN len(existing_matches) > 0 THEN array_to_string(existing_matches, ', ') ELSE 'none identified' END AS affected,
         CASE WHEN len(existing_matches) > 0 THEN 'extend existing capability' ELSE 'create capability' END AS action,
         estimated_time_saved AS expected_value FROM cands""",

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.prose_numbers import parse_number
+from sessionloom.session import cut_lineage
 
 # Per kind its fields as (name, type, default for a shorthand string);
 # the field with default None receives the shorthand text.
@@ -63,37 +64,44 @@ def parse_object(text: Column) -> Column:
     return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
 
 
-def _kind_of(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value), F.lit("ABSENT"))
+# A JSON value is carried as a struct of the variant and its type name, so the
+# type is looked up once however many rules test it.
+
+
+def _typed(value: Column) -> Column:
+    return F.struct(
+        value.alias("v"), F.coalesce(F.schema_of_variant(value), F.lit("ABSENT")).alias("type")
+    )
+
+
+def _string(value: Column) -> Column:
+    return F.when(value["type"] == "STRING", F.try_variant_get(value["v"], "$", "string"))
 
 
 def _as_text(value: Column) -> Column:
     """Strings as they are, other scalars and documents as JSON text, NULL for null."""
-    return F.when(_kind_of(value) == "STRING", F.variant_get(value, "$", "string")).when(
-        ~_kind_of(value).isin("VOID", "ABSENT"), F.to_json(value)
-    )
+    other = F.when(~value["type"].isin("VOID", "ABSENT"), F.to_json(value["v"]))
+    return F.coalesce(_string(value), other)
 
 
 def _as_number(value: Column) -> Column:
-    kind = _kind_of(value)
-    prose = F.coalesce(parse_number(F.variant_get(value, "$", "string")), F.lit(0.0))
-    numeric = kind.rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")
-    number = F.when(kind == "STRING", prose).when(numeric, F.try_variant_get(value, "$", "double"))
+    prose = F.when(value["type"] == "STRING", F.coalesce(parse_number(_string(value)), F.lit(0.0)))
+    numeric = value["type"].rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")
+    number = F.coalesce(prose, F.when(numeric, F.try_variant_get(value["v"], "$", "double")))
     return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
 
 
-def _as_count(value: Column) -> Column:
-    number = _as_number(value)
+def _whole(number: Column) -> Column:
     return F.when((number >= 0) & (number == F.floor(number)), number.cast("bigint"))
 
 
 def _as_list(value: Column) -> Column:
-    items = F.try_variant_get(value, "$", "array<variant>")
+    items = F.transform(F.try_variant_get(value["v"], "$", "array<variant>"), _typed)
     texts = F.transform(items, _as_text)
     return F.when(F.forall(texts, lambda t: t.isNotNull()), texts)
 
 
-CONVERT = {"text": _as_text, "number": _as_number, "count": _as_count, "list": _as_list}
+READ = {"text": _as_text, "number": _as_number, "count": _as_number, "list": _as_list}
 
 
 def _literal(value, kind: str) -> Column:
@@ -103,23 +111,35 @@ def _literal(value, kind: str) -> Column:
 
 
 def _items(items: Column, fields: list[tuple]) -> Column:
-    return F.transform(items, lambda item: _item(item, fields))
+    """Findings as structs; NULL where a field is missing or of the wrong type."""
+    split = F.transform(
+        items,
+        lambda item: F.struct(
+            _typed(item).alias("self"),
+            *[_typed(F.try_variant_get(item, f"$.{name}", "variant")).alias(name) for name, _, _ in fields],
+        ),
+    )
+    read = F.transform(
+        split,
+        lambda x: F.struct(
+            F.regexp_replace(_string(x["self"]), r"(?U)^\s+|\s+$", "").alias("short"),
+            x["self"]["type"].startswith("OBJECT").alias("whole"),
+            *[READ[kind](x[name]).alias(name) for name, kind, _ in fields],
+        ),
+    )
 
+    def finish(x: Column) -> Column:
+        shorthand = F.struct(
+            *[(x["short"] if default is None else _literal(default, kind)).alias(name) for name, kind, default in fields]
+        )
+        values = {name: _whole(x[name]) if kind == "count" else x[name] for name, kind, _ in fields}
+        complete = x["whole"]
+        for value in values.values():
+            complete = complete & value.isNotNull()
+        full = F.struct(*[value.alias(name) for name, value in values.items()])
+        return F.when(x["short"] != "", shorthand).when(complete, full)
 
-def _item(item: Column, fields: list[tuple]) -> Column:
-    """One finding as a struct, NULL when any field is missing or of the wrong type."""
-    text = F.regexp_replace(F.when(_kind_of(item) == "STRING", F.variant_get(item, "$", "string")), r"(?U)^\s+|\s+$", "")
-    shorthand = F.struct(
-        *[(text if default is None else _literal(default, kind)).alias(name) for name, kind, default in fields]
-    )
-    values = {
-        name: CONVERT[kind](F.try_variant_get(item, f"$.{name}", "variant")) for name, kind, _ in fields
-    }
-    complete = F.lit(True)
-    for value in values.values():
-        complete = complete & value.isNotNull()
-    full = F.when(complete, F.struct(*[value.alias(name) for name, value in values.items()]))
-    return F.when(text != "", shorthand).when(_kind_of(item).startswith("OBJECT"), full)
+    return F.transform(read, finish)
 
 
 def parse(responses: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -131,14 +151,14 @@ def parse(responses: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     for kind, fields in KINDS.items():
         items = F.try_variant_get("_object", f"$.{kind}", "array<variant>")
         parsed = parsed.withColumn(kind, _items(items, fields))
+    # Nine tables read the result; writing it parses each response once.
+    parsed = cut_lineage(parsed.drop("_object"))
     accepted = F.lit(True)
     for kind in KINDS:
         accepted = accepted & F.coalesce(F.forall(kind, lambda x: x.isNotNull()), F.lit(False))
-    parsed = parsed.withColumn("_accepted", accepted)
     tables = {}
     for kind in KINDS:
-        exploded = parsed.where("_accepted").select("batch_no", F.posexplode(kind).alias("_pos", "_f"))
+        exploded = parsed.where(accepted).select("batch_no", F.posexplode(kind).alias("_pos", "_f"))
         order = F.shiftleft(F.col("batch_no"), POSITION_BITS) + F.col("_pos")
         tables[kind] = exploded.select("batch_no", order.alias("ord"), "_f.*")
-    rejected = parsed.where(~F.col("_accepted")).select("batch_no", "text")
-    return tables, rejected
+    return tables, parsed.where(~accepted).select("batch_no", "text")
