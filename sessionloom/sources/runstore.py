@@ -63,11 +63,12 @@ def write_backlog(backlog: DataFrame, folder: str, run_id: str) -> None:
     )
 
 
-def fan_out(backlog: DataFrame, projects: DataFrame) -> DataFrame:
-    """The backlog once per distinct project path, each written under its own folder.
+def write_project_backlogs(backlog: DataFrame, projects: DataFrame, folder: str) -> None:
+    """The whole backlog once per distinct project path.
 
-    Every project gets the same rows, so the few backlog columns are repeated per
-    project by exploding the project side next to a constant key.
+    Every project receives the same rows, so each project is written in turn
+    from the one backlog table instead of multiplying the two tables. The
+    project list is a user's own registry; it is read in pages, not collected.
     """
-    paths = projects.select("path").distinct()
-    return paths.join(backlog, F.lit(True))
+    for row in projects.select("path").distinct().toLocalIterator():
+        backlog.withColumn("path", F.lit(row.path)).write.mode("append").json(folder)
