@@ -22,12 +22,15 @@ def finite_clamp(value: Column, low: float, high: float) -> Column:
 
 
 def mapped(key: Column, table: dict, default=None) -> Column:
-    """A literal lookup: fixed, short tables only."""
-    result = None
-    for name, value in table.items():
-        test = key == name
-        result = F.when(test, F.lit(value)) if result is None else result.when(test, F.lit(value))
-    return result.otherwise(F.lit(default))
+    """A lookup in a short literal table; ``key`` appears once in the plan."""
+
+    def literal(value) -> str:
+        if isinstance(value, str):
+            return f"'{value}'"
+        return f"{value!r}D" if isinstance(value, float) else repr(value)
+
+    pairs = ", ".join(f"{literal(name)}, {literal(value)}" for name, value in table.items())
+    return F.coalesce(F.try_element_at(F.expr(f"map({pairs})"), key), F.lit(default))
 
 
 def priority(impact: Column) -> Column:

@@ -30,10 +30,29 @@ def tokens(text: Column) -> Column:
 
 def word_set(text: Column) -> Column:
     """Distinct meaningful words."""
-    ignored = F.array(F.lit(""), *[F.lit(word) for word in STOPWORDS])
+    ignored = F.split(F.lit(" ".join(["", *STOPWORDS])), " ")
     return F.array_except(_lowered_pieces(text), ignored)
 
 
+def each_word(words: Column) -> Column:
+    """One row per array item; drop NULLs afterwards with ``where``.
+
+    The outer form keeps the optimizer from testing the array's size in a filter
+    of its own, which would tokenise every text twice.
+    """
+    return F.explode_outer(words)
+
+
+def computed_once(value: Column) -> Column:
+    """A select item that stops the optimizer from copying ``value`` into later filters.
+
+    A filter on a computed column is pushed below the projection together with
+    the whole expression, so an expensive value would be worked out twice per
+    row. Filters are not pushed through a generator's own output.
+    """
+    return F.explode_outer(F.array(value))
+
+
 def jaccard(left: Column, right: Column) -> Column:
     """Shared share of two word sets; 0 when either is empty."""
     shared = F.size(F.array_intersect(left, right))

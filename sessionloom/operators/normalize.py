@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionloom.functions.text import SPACE_RUN, space_separated_words
+from sessionloom.functions.text import SPACE_RUN, computed_once, space_separated_words
 
 # Literal markers deleted from content.
 NOISE = ("[system]", "[debug]")
@@ -64,9 +64,9 @@ def normalize_tool_calls(df: DataFrame, column: str = "tool_calls") -> DataFrame
 
 def normalize(entries: DataFrame) -> DataFrame:
     """Normalise entries and drop empty ones; repeats are evidence and stay."""
-    kept = entries.withColumn("content", normalize_content(F.col("content"))).where(
-        F.col("content") != ""
-    )
+    others = [c for c in entries.columns if c != "content"]
+    cleaned = computed_once(normalize_content(F.col("content"))).alias("content")
+    kept = entries.select(*others, cleaned).where(F.col("content") != "")
     return normalize_tool_calls(kept) if "tool_calls" in entries.columns else kept
 
 

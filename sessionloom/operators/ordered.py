@@ -28,7 +28,14 @@ def place(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     ``order`` must end in something unique per row. The result is written to the
     checkpoint folder because the stamps depend on sampled range bounds.
     """
-    stamped = df.orderBy(*order).withColumn(PLACE, F.monotonically_increasing_id())
+    spark = df.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if partitions <= 2 * spark.sparkContext.defaultParallelism:
+        # Few partitions for the cores there are: keep them all busy.
+        ranged = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    else:
+        ranged = df.orderBy(*order)  # adaptive execution may merge small ranges
+    stamped = ranged.withColumn(PLACE, F.monotonically_increasing_id())
     stamped = stamped.withColumn(BLOCK, F.shiftright(PLACE, 33))
     return cut_lineage(stamped)
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.text import word_set
+from sessionloom.functions.text import each_word, word_set
 from sessionloom.operators import ordered, tfidf
 from sessionloom.operators.lookups import join_by_key
 from sessionloom.session import cut_lineage
@@ -22,37 +22,37 @@ MIN_SIMILARITY = 0.3
 
 
 def _in_order(entries: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    placed = ordered.row_number(ordered.place(entries, [*keys, *order]), "seq")
-    return ordered.previous(placed, [order[0], "seq"], keys)
+    return ordered.row_number(ordered.place(entries, [*keys, *order]), "seq")
 
 
-def _with_gap(rows: DataFrame, ts: str) -> DataFrame:
+def _with_gap(rows: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    linked = ordered.previous(rows, [ts, "seq"], keys)
     # Whole minutes, truncated: 30:59 is 30, 31:00 is 31.
     gap = F.timestamp_diff("MINUTE", F.col(f"prev_{ts}"), F.col(ts))
-    return rows.withColumn("gap_minutes", gap).drop(f"prev_{ts}")
+    return linked.withColumn("gap_minutes", gap).drop(f"prev_{ts}")
 
 
 def gaps(entries: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Entries with truncated minutes since the previous one and the gap-only split flag."""
-    return _with_gap(_in_order(entries, keys, order), order[0]).withColumn(
+    return _with_gap(_in_order(entries, keys, order), keys, order[0]).withColumn(
         "splits", F.col("prev_seq").isNull() | (F.col("gap_minutes") > MAX_GAP_MINUTES)
     )
 
 
 def similarity(entries: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Entries with the cosine to their predecessor (NULL for the first of a key)."""
-    rows = _in_order(entries, keys, order).drop(f"prev_{order[0]}")
+    rows = _in_order(entries, keys, order)
     cosines = tfidf.neighbour_cosine(tfidf.weights(rows, ["seq"]), "seq")
-    return rows.join(cosines, "seq", "left").withColumn(
+    return ordered.previous(rows, ["seq"], keys).join(cosines, "seq", "left").withColumn(
         "cosine", F.when(F.col("prev_seq").isNotNull(), F.coalesce("cosine", F.lit(0.0)))
     )
 
 
 def segment(entries: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Entries with ``segment_no`` (from 1, per key) and ``seq`` (global order)."""
-    rows = _with_gap(_in_order(entries, keys, order), order[0])
+    rows = _in_order(entries, keys, order)
     cosines = tfidf.neighbour_cosine(tfidf.weights(rows, ["seq"]), "seq")
-    scored = rows.join(cosines, "seq", "left")
+    scored = _with_gap(rows, keys, order[0]).join(cosines, "seq", "left")
     splits = (
         F.col("prev_seq").isNull()
         | (F.col("gap_minutes") > MAX_GAP_MINUTES)
@@ -68,7 +68,7 @@ def topics(segmented: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Most widespread word longer than 3 bytes per segment; ties go to the smaller word."""
     group = [*keys, "segment_no"]
     words = (
-        segmented.select(*group, F.explode(word_set(F.col("content"))).alias("word"))
+        segmented.select(*group, each_word(word_set(F.col("content"))).alias("word"))
         .where(F.octet_length("word") > 3)
         .groupBy(*group, "word")
         .agg(F.count("*").alias("n"))

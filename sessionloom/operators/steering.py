@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.scores import mapped
+from sessionloom.functions.text import computed_once
 
-# Categories in priority order with their phrases (matched on lowercase text).
+# Categories in priority order with their phrases, matched on lowercase
+# text. A plain phrase is searched for as it is; a pattern is tried only on texts
+# that contain the words before the colon.
 PHRASES = {
     "MissingTool": [
         r"i wish i had", r"we need a tool for", r"there should be a command",
-        r"missing.*tool", r"would be nice if.*could",
+        "missing:missing.*tool", "would be nice if:would be nice if.*could",
     ],
     "MissingContext": [
         r"we already decided", r"you forgot", r"as i mentioned", r"remember that",
@@ -22,21 +28,22 @@ PHRASES = {
         r"not the right abstraction", r"misunderstood the requirement",
     ],
     "ExcessVerbosity": [
-        r"be more concise", r"too verbose", r"\bshorter\b", r"get to the point",
+        r"be more concise", r"too verbose", r"shorter:\bshorter\b", r"get to the point",
         r"less detail", r"keep it brief",
     ],
     "Hallucination": [
-        r"that.*doesn't exist", r"no such.*api", r"that command doesn't", r"\binvented\b",
-        r"\bhallucinated\b", r"not a real",
+        "doesn't exist:that.*doesn't exist", "no such:no such.*api", r"that command doesn't", r"invented:\binvented\b",
+        r"hallucinated:\bhallucinated\b", r"not a real",
     ],
     "ArchitecturalMismatch": [
         r"doesn't fit the workflow", r"architectural mismatch", r"wrong for this use case",
         r"doesn't scale", r"not the right fit",
     ],
     "ManualRepetition": [
-        r"\b(?:do|run|execute|perform|say|write|try)\s+(?:it|that|this)\s+again\b",
-        r"\brepeat(?:\s+(?:that|this|it|the\s+\w+))?\b", r"\bsame as before\b",
-        r"\bdo it again\b", r"\blike last time\b",
+        r"again:\b(?:do|run|execute|perform|say|write|try)\s+(?:it|that|this)\s+again\b",
+        r"repeat:\brepeat(?:\s+(?:that|this|it|the\s+\w+))?\b", r"same as before:\bsame as before\b",
+        r"do it again:\bdo it again\b",
+        r"like last time:\blike last time\b",
     ],
 }
 
@@ -69,27 +76,40 @@ OPENERS = ("hi", "hello", "hey", "hello!", "hi!", "hey!", "good morning", "good
 CATEGORY_ORDER = {name: i for i, name in enumerate(SEVERITY)}
 
 
-def is_opener(content: Column) -> Column:
-    return F.regexp_replace(F.lower(content), r"(?U)^\s+|\s+$", "").isin(*OPENERS)
+def is_opener(text: Column) -> Column:
+    """Whether a lowercase text is nothing but a greeting."""
+    return text.rlike(r"(?U)\A\s*(?:" + "|".join(OPENERS) + r")\s*\z")
+
+
+def pattern_of(phrase: str) -> str:
+    return phrase.partition(":")[2] or phrase
 
 
-def steering_category(content: Column) -> Column:
-    """First matching category, NULL for none; one fused pattern per category.
+def _mentions(text: Column, phrase: str) -> Column:
+    """Substring search first: it is far cheaper than a pattern and usually says no.
 
     (?U) makes the word classes Unicode-aware and (?d) lets "." stop only at \\n.
     """
-    text = F.lower(content)
-    chain = F.when(is_opener(content), F.lit(None).cast("string"))
+    words, _, pattern = phrase.partition(":")
+    found = F.contains(text, F.lit(words))
+    return found & text.rlike("(?Ud)" + pattern) if pattern else found
+
+
+def steering_category(text: Column) -> Column:
+    """First matching category of a lowercase text, NULL for none."""
+    chain = F.when(is_opener(text), F.lit(None).cast("string"))
     for category, phrases in PHRASES.items():
-        chain = chain.when(text.rlike("(?Ud)" + "|".join(phrases)), F.lit(category))
+        matched = reduce(or_, [_mentions(text, phrase) for phrase in phrases])
+        chain = chain.when(matched, F.lit(category))
     return chain
 
 
 def detect(entries: DataFrame) -> DataFrame:
     """One event per entry that matches; columns of ``entries`` other than content are kept."""
-    events = entries.withColumn("category", steering_category(F.col("content")))
+    lowered = entries.select("*", computed_once(F.lower("content")).alias("_lower"))
+    events = lowered.select("*", computed_once(steering_category(F.col("_lower"))).alias("category"))
     return (
-        events.where(F.col("category").isNotNull())
+        events.drop("_lower").where(F.col("category").isNotNull())
         .withColumn("description", mapped(F.col("category"), DESCRIPTIONS))
         .withColumn("severity", mapped(F.col("category"), SEVERITY))
         .withColumnRenamed("content", "context")

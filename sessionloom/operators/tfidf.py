@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.functions.text import tokens, word_set
+from sessionloom.functions.text import each_word, tokens, word_set
 from sessionloom.operators.lookups import join_by_key
 
 
@@ -20,7 +20,8 @@ def term_frequency(docs: DataFrame, ids: Sequence[str], text: str = "content") -
     words = docs.select(*ids, tokens(F.col(text)).alias("_words"))
     words = words.withColumn("_total", F.size("_words"))
     return (
-        words.select(*ids, "_total", F.explode("_words").alias("term"))
+        words.select(*ids, "_total", each_word(F.col("_words")).alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy(*ids, "term", "_total")
         .agg(F.count("*").alias("occurrences"))
         .withColumn("tf", F.col("occurrences") / F.greatest(F.col("_total"), F.lit(1)))
@@ -31,7 +32,8 @@ def term_frequency(docs: DataFrame, ids: Sequence[str], text: str = "content") -
 def document_frequency(docs: DataFrame, text: str = "content", within: Sequence[str] = ()):
     """(within, term, df): documents containing the term, counted map-side first."""
     return (
-        docs.select(*within, F.explode(word_set(F.col(text))).alias("term"))
+        docs.select(*within, each_word(word_set(F.col(text))).alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy(*within, "term")
         .agg(F.count("*").alias("df"))
     )

@@ -96,7 +96,7 @@ add(
     steered=f"""SELECT id AS entry_id, ts, user_id, category, content AS context,
         {cases("category", steering.DESCRIPTIONS)} AS description, {cases("category", steering.SEVERITY)}::DOUBLE AS severity
         FROM (SELECT *, CASE WHEN trim(lower(content)) IN ({", ".join(quoted(o) for o in steering.OPENERS)}) THEN NULL
-          {" ".join(f"WHEN regexp_matches(lower(content), {quoted('|'.join(p))}) THEN {quoted(c)}" for c, p in steering.PHRASES.items())}
+          {" ".join(f"WHEN regexp_matches(lower(content), {quoted('|'.join(map(steering.pattern_of, p)))}) THEN {quoted(c)}" for c, p in steering.PHRASES.items())}
           END AS category FROM norm_entries) WHERE category IS NOT NULL""",
     clusters=f"""SELECT category, count(*) AS events, avg(severity) AS avg_severity,
         {cases("category", steering.SUGGESTED_NAME)} AS name,

@@ -15,6 +15,7 @@ from sessionloom.operators import (
 from sessionloom.operators.lookups import join_by_key
 from sessionloom.plans import stages
 from sessionloom.plans.inputs import load, table
+from sessionloom.session import widen
 from sessionloom.sources import files, records, responses
 
 AS_OF = "2024-01-20 00:00:00"
@@ -31,6 +32,10 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return widen(table(spark, sf_dir, "documents"))
+
+
 def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp_ntz")
 
@@ -60,7 +65,9 @@ def inline_timestamps(spark, sf_dir):
 
 @query
 def json_records(spark, sf_dir):
-    lines = load(spark, sf_dir, "json_records").withColumn("_r", records.strict_json(F.col("line")))
+    lines = load(spark, sf_dir, "json_records").select(
+        "*", text.computed_once(records.strict_json(F.col("line"))).alias("_r")
+    )
     good = lines.where(F.col("_r").isNotNull())
     columns = records.entry_columns(F.col("_r"), F.col("ts").cast("timestamp"))
     return (
@@ -118,13 +125,13 @@ def ingestion_warnings(spark, sf_dir):
 
 @query
 def parsed_responses(spark, sf_dir):
-    tables, _ = responses.parse(load(spark, sf_dir, "responses"))
+    tables, _ = responses.parse(widen(load(spark, sf_dir, "responses")))
     return tables["model_failures"].drop("ord")
 
 
 @query
 def rejected_responses(spark, sf_dir):
-    _, rejected = responses.parse(load(spark, sf_dir, "responses"))
+    _, rejected = responses.parse(widen(load(spark, sf_dir, "responses")))
     return rejected.select("batch_no")
 
 
@@ -133,7 +140,7 @@ def rejected_responses(spark, sf_dir):
 
 @query
 def tokenize_stats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("_t", text.tokens(F.col("text")))
+    docs = documents(spark, sf_dir).withColumn("_t", text.tokens(F.col("text")))
     return docs.select(
         "doc_id", F.size("_t").cast("bigint").alias("tokens"),
         F.size(text.word_set(F.col("text"))).cast("bigint").alias("distinct_words"),
@@ -143,17 +150,17 @@ def tokenize_stats(spark, sf_dir):
 
 @query
 def term_frequency(spark, sf_dir):
-    return rounded(tfidf.term_frequency(table(spark, sf_dir, "documents"), ["doc_id"], "text"), "tf", places=9)
+    return rounded(tfidf.term_frequency(documents(spark, sf_dir), ["doc_id"], "text"), "tf", places=9)
 
 
 @query
 def document_frequency(spark, sf_dir):
-    return tfidf.document_frequency(table(spark, sf_dir, "documents"), "text")
+    return tfidf.document_frequency(documents(spark, sf_dir), "text")
 
 
 @query
 def tfidf_top_term(spark, sf_dir):
-    weights = tfidf.weights(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    weights = tfidf.weights(documents(spark, sf_dir), ["doc_id"], "text")
     weights = rounded(weights, "weight", places=9)
     best = F.struct((-F.col("weight")).alias("w"), F.col("term").alias("t"))
     return weights.groupBy("doc_id").agg(
@@ -171,7 +178,7 @@ def adjacent_cosine(spark, sf_dir):
 @query
 def jaccard_to_source_lead(spark, sf_dir):
     """Word-set similarity of each document to the first document of its source."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = documents(spark, sf_dir).select(
         "doc_id", "source", text.word_set(F.col("text")).alias("words")
     )
     leads = docs.groupBy("source").agg(
@@ -185,7 +192,7 @@ def jaccard_to_source_lead(spark, sf_dir):
 
 @query
 def truncated_texts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.select(
         "doc_id", text.truncate_chars(F.col("text"), 40).alias("head"),
         text.truncate_bytes(F.col("text"), 240).alias("rationale"),
@@ -194,7 +201,7 @@ def truncated_texts(spark, sf_dir):
 
 @query
 def redact_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     clean = redact.redact_text(F.col("text"))
     return docs.select("doc_id", clean.alias("redacted"), (clean != F.col("text")).alias("changed"))
 
@@ -270,7 +277,7 @@ def excerpt_batches(spark, sf_dir):
 
 @query
 def batch_weight(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return docs.groupBy(excerpts.weight_class(F.col("text")).alias("weight")).agg(F.count("*").alias("batches"))
 
 

@@ -24,6 +24,16 @@ def local_session(cores: str | int = "*", app: str = "sessionloom") -> SparkSess
     )
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread rows before per-row heavy work when the scan has fewer splits than cores.
+
+    A large table has many splits and passes through unchanged; only an input
+    of a few row groups is redistributed.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; one is made only in local mode."""
     context = spark.sparkContext

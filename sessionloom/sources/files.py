@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionloom.schema import ENTRY_COLUMNS, ENTRY_ORDER
+from sessionloom.functions.text import computed_once
 from sessionloom.sources import records
 
 # File name endings of database side files that are never logs.
@@ -81,8 +82,8 @@ def _text_entries(spark: SparkSession, harness: Harness, markdown: bool) -> tupl
 
 
 def _json_line_entries(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    filled = lines.where(records.trim_all(F.col("value")) != "").withColumn(
-        "_record", records.strict_json(F.col("value"))
+    filled = lines.where(records.trim_all(F.col("value")) != "").select(
+        "*", computed_once(records.strict_json(F.col("value"))).alias("_record")
     )
     good = F.col("_record").isNotNull()
     status = filled.groupBy("source_path").agg(
@@ -107,7 +108,9 @@ def _json_array_entries(spark: SparkSession, paths) -> tuple[DataFrame, DataFram
         "source_path", F.coalesce(F.size("_items"), F.lit(0)).cast("bigint").alias("good"),
         F.col("_items").isNull().cast("bigint").alias("bad"), "undecodable",
     )
-    exploded = parsed.select("source_path", "mtime", F.posexplode("_items").alias("_pos", "_record"))
+    exploded = parsed.select("source_path", "mtime", F.posexplode_outer("_items").alias("_pos", "_record")).where(
+        F.col("_pos").isNotNull()
+    )
     key = F.struct(F.lit(0).cast("bigint").alias("split"), F.col("_pos").cast("bigint").alias("row"))
     rows = exploded.select(
         "source_path", key.alias("_key"), *records.entry_columns(F.col("_record"), F.col("mtime"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.functions.prose_numbers import parse_number
+from sessionloom.functions.text import computed_once
 from sessionloom.session import cut_lineage
 
 # Per kind its fields as (name, type, default for a shorthand string);
@@ -59,9 +60,7 @@ def quote_numbers(text: Column) -> Column:
 
 
 def parse_object(text: Column) -> Column:
-    quoted = quote_numbers(json_object_text(text))
-    value = F.from_json(quoted, "variant", LENIENT)
-    return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+    return F.from_json(quote_numbers(json_object_text(text)), "variant", LENIENT)
 
 
 # A JSON value is carried as a struct of the variant and its type name, so the
@@ -147,12 +146,13 @@ def parse(responses: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
 
     Findings carry ``batch_no`` and ``ord``, the order of batch then position.
     """
-    parsed = responses.withColumn("_object", parse_object(F.col("text")))
-    for kind, fields in KINDS.items():
-        items = F.try_variant_get("_object", f"$.{kind}", "array<variant>")
-        parsed = parsed.withColumn(kind, _items(items, fields))
+    parsed = responses.select("*", computed_once(parse_object(F.col("text"))).alias("_object"))
+    findings = [
+        _items(F.try_variant_get("_object", f"$.{kind}", "array<variant>"), fields).alias(kind)
+        for kind, fields in KINDS.items()
+    ]
     # Nine tables read the result; writing it parses each response once.
-    parsed = cut_lineage(parsed.drop("_object"))
+    parsed = cut_lineage(parsed.select("batch_no", "text", *findings))
     accepted = F.lit(True)
     for kind in KINDS:
         accepted = accepted & F.coalesce(F.forall(kind, lambda x: x.isNotNull()), F.lit(False))
