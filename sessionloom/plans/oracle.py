@@ -70,13 +70,14 @@ def cosine_ctes(prefix: str, docs: str, part: str, order: str, text: str, local:
             FROM {prefix}_tf JOIN {prefix}_df {join_df} {join_n}""",
         f"{prefix}_norm": f"SELECT {part}, {order}, sqrt(sum(w * w)) AS norm FROM {prefix}_w GROUP BY {part}, {order}",
         f"{prefix}_pair": f"""SELECT {part}, {order}, lag({order}) OVER (PARTITION BY {part} ORDER BY {order}) AS prev FROM {docs}""",
-        f"{prefix}_cos": f"""SELECT p.{part}, p.{order}, sum(a.w * b.w) / any_value(na.norm * nb.norm) AS cosine
-            FROM {prefix}_pair p
-            JOIN {prefix}_w a ON a.{part} = p.{part} AND a.{order} = p.{order}
-            JOIN {prefix}_w b ON b.{part} = p.{part} AND b.{order} = p.prev AND b.term = a.term
-            JOIN {prefix}_norm na ON na.{part} = p.{part} AND na.{order} = p.{order}
-            JOIN {prefix}_norm nb ON nb.{part} = p.{part} AND nb.{order} = p.prev
-            GROUP BY p.{part}, p.{order}""",
+        # Weights moved to the following document, so that the product is one equi-join.
+        f"{prefix}_moved": f"""SELECT w.{part}, p.{order}, term, w FROM {prefix}_w w
+            JOIN {prefix}_pair p ON p.{part} = w.{part} AND p.prev = w.{order}""",
+        f"{prefix}_dot": f"""SELECT {part}, {order}, sum(a.w * b.w) AS dot
+            FROM {prefix}_w a JOIN {prefix}_moved b USING ({part}, {order}, term) GROUP BY {part}, {order}""",
+        f"{prefix}_cos": f"""SELECT d.{part}, d.{order}, dot / (na.norm * nb.norm) AS cosine
+            FROM {prefix}_dot d JOIN {prefix}_pair p USING ({part}, {order}) JOIN {prefix}_norm na USING ({part}, {order})
+            JOIN {prefix}_norm nb ON nb.{part} = p.{part} AND nb.{order} = p.prev""",
     }
 
 
