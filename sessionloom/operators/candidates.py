@@ -186,6 +186,24 @@ def opportunities(candidate_rows: DataFrame) -> DataFrame:
     )
 
 
+def envelopes(run_rows: DataFrame, source_id: str, version: str) -> DataFrame:
+    """(run_id, envelope): the JSON header of each published run.
+
+    ``run_rows`` has run_id, generated_at, executive_summary and the pipeline
+    counts. Opportunities are published as rows of their own beside it.
+    """
+    stamp = F.date_format("generated_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    run = F.struct(
+        F.col("run_id").alias("id"),
+        stamp.alias("generated_at"),
+        F.struct(F.lit(source_id).alias("id"), F.lit(version).alias("cli_version")).alias("source"),
+        F.col("executive_summary").alias("summary"),
+        F.struct("raw_entries", "normalized_entries", "segments", "estimated_input_tokens").alias("pipeline"),
+    )
+    header = F.to_json(F.struct(F.lit(1).alias("schema_version"), run.alias("run")))
+    return run_rows.select("run_id", header.alias("envelope"))
+
+
 def backlog(candidate_rows: DataFrame) -> DataFrame:
     """Numbered backlog items in confidence order."""
     placed = ordered.place(candidate_rows, [F.col("confidence").desc(), F.col("id").asc()])

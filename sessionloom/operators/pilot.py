@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_COHORT = 5
+MAX_MINUTES = 525_600.0
 
 
 def weekly(sessions: DataFrame, min_cohort: int = MIN_COHORT) -> DataFrame:
     """``sessions``: one row per session with cohort, started_at, steering, repeated
     (sessions needing repeated correction for one issue), context_loss, missing_tool,
     resolution_minutes (NULL when unresolved), adopted, accepted and files counts."""
+    minutes = F.col("resolution_minutes")
+    bounded = F.when(minutes > MAX_MINUTES, MAX_MINUTES).otherwise(minutes)
     week = F.date_trunc("week", "started_at").alias("week")
     return (
         sessions.groupBy("cohort", week)
@@ -21,7 +24,9 @@ def weekly(sessions: DataFrame, min_cohort: int = MIN_COHORT) -> DataFrame:
             F.avg("steering").alias("steering_per_session"),
             F.sum("context_loss").cast("bigint").alias("context_loss"),
             F.sum("missing_tool").cast("bigint").alias("missing_tool"),
-            F.percentile("resolution_minutes", 0.5).alias("median_resolution_minutes"),
+            # To a tenth of a minute: the exact median then holds a bounded number of
+            # distinct values however many sessions a cohort has.
+            F.percentile(F.round(bounded, 1), 0.5).alias("median_resolution_minutes"),
             F.sum(F.col("adopted").cast("int")).cast("bigint").alias("adoption"),
             F.try_divide(F.sum("accepted"), F.sum("files")).alias("completeness"),
             F.sum("privacy_exceptions").cast("bigint").alias("privacy_exceptions"),

@@ -411,6 +411,10 @@ SELECTS: dict[str, str] = {
     "analysis_summary": "SELECT * FROM counts",
     "friction_score": """SELECT round(greatest(least((high_impact / (high_impact + 5.0) + steering / (steering + 20.0)) / 2.0, 1.0), 0.0), 6) AS score
         FROM counts""",
+    "run_envelope_headers": """SELECT run_id, printf('{"schema_version":1,"run":{"id":"%s","generated_at":"%sZ","source":{"id":"device-1",'
+          || '"cli_version":"1.0"},"summary":"summary of %s","pipeline":{"raw_entries":%d,"normalized_entries":%d,"segments":1,'
+          || '"estimated_input_tokens":%d}}}', run_id, strftime(generated_at, '%Y-%m-%dT%H:%M:%S.%f'), date, raw_entries, raw_entries, raw_entries * 6)
+          AS envelope, 'accept' AS decision FROM runs""",
     "envelope_validation": """SELECT page_id, d AS decision, CASE WHEN d = 'accept' THEN 'escalate: validation threshold is below the safe minimum'
         ELSE d END AS low_threshold_decision FROM (SELECT page_id, CASE WHEN json_type(envelope) <> 'OBJECT' THEN 'reject: run envelope must be a JSON object'
           WHEN coalesce(envelope->>'$.schema_version', '') <> '1' THEN 'reject: unsupported or missing schema_version'
@@ -451,7 +455,7 @@ SELECTS: dict[str, str] = {
         FROM streaks GROUP BY route""",
     "pilot_weekly": """SELECT cohort, date_trunc('week', started_at)::TIMESTAMP AS week, count(*) AS sessions, round(avg(repeated::INT), 6) AS rework_rate,
         round(avg(steering), 6) AS steering_per_session, sum(context_loss)::BIGINT AS context_loss, sum(missing_tool)::BIGINT AS missing_tool,
-        round(median(resolution_minutes), 6) AS median_resolution_minutes, sum(adopted::INT)::BIGINT AS adoption,
+        round(median(round(resolution_minutes, 1)), 6) AS median_resolution_minutes, sum(adopted::INT)::BIGINT AS adoption,
         round(sum(accepted) / sum(files), 6) AS completeness, sum(privacy_exceptions)::BIGINT AS privacy_exceptions
         FROM sessions GROUP BY 1, 2 HAVING count(*) >= 5""",
 }

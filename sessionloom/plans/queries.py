@@ -511,6 +511,18 @@ def friction_score(spark, sf_dir):
     return rounded(report.friction(_counts(spark, sf_dir)).select("score"), "score")
 
 
+@query
+def run_envelope_headers(spark, sf_dir):
+    """The JSON header of every run with the gate's verdict on it."""
+    rows = load(spark, sf_dir, "runs").select(
+        "run_id", "generated_at", F.concat(F.lit("summary of "), "date").alias("executive_summary"), "raw_entries",
+        F.col("raw_entries").alias("normalized_entries"), F.lit(1).alias("segments"),
+        (F.col("raw_entries") * 6).alias("estimated_input_tokens"),
+    )
+    headers = candidates.envelopes(rows, "device-1", "1.0")
+    return headers.withColumn("decision", privacy.validate_envelope(F.col("envelope"), 0.9))
+
+
 @query
 def envelope_validation(spark, sf_dir):
     rows = load(spark, sf_dir, "envelopes")
