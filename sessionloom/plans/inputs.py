@@ -110,7 +110,7 @@ INPUTS = {
     "automation_opportunities": """
         SELECT p_partkey AS ord,
                'automate ' || p_name || ' ' || lower(p_type) || ' ' || lower(p_brand) AS description,
-               p_size * 30.0 AS estimated_time_saved, p_retailprice / 2000.0 AS confidence
+               CAST(p_size * 30.0 AS DOUBLE) AS estimated_time_saved, p_retailprice / 2000.0 AS confidence
         FROM {part}""",
     "registry": """
         SELECT 'tool-' || CAST(p_partkey AS STRING) AS tool,

@@ -184,7 +184,8 @@ def jaccard_to_source_lead(spark, sf_dir):
     leads = docs.groupBy("source").agg(
         F.min_by("words", "doc_id").alias("lead_words"), F.count("*").alias("docs")
     )
-    joined = join_by_key(docs, leads, ["source"], "docs", F.col("doc_id"))
+    # A lead carries a whole text's words, so few of them may be broadcast.
+    joined = join_by_key(docs, leads, ["source"], "docs", F.col("doc_id"), max_hot=100)
     return joined.select(
         "doc_id", "source", F.round(text.jaccard(F.col("words"), F.col("lead_words")), 6).alias("jaccard")
     )
