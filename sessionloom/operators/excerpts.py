@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from sessionloom.functions.redact import redact_text
 from sessionloom.functions.scores import two_decimals
 from sessionloom.operators import ordered
+from sessionloom.operators.ordered import BLOCK, PLACE
 from sessionloom.session import cut_lineage
 
 MAX_BATCH_BYTES = 48_000
@@ -96,7 +97,7 @@ def _walk(cost: np.ndarray, first: int, capacity: int) -> tuple[list[int], int]:
 
 def _block_table(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """For each piece that can be the block's first own start: (free bytes needed, bytes open at end)."""
-    cost = pdf.sort_values(ordered.PLACE)["cost"].to_numpy()
+    cost = pdf.sort_values(PLACE)["cost"].to_numpy()
     total = np.concatenate([[0], np.cumsum(cost)])
     n = len(cost)
     # Open bytes at the end of the block for a batch starting at i, from the back.
@@ -109,7 +110,7 @@ def _block_table(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     kept = slice(0, min(reachable, n))
     return pd.DataFrame(
         {
-            ordered.BLOCK: [pdf[ordered.BLOCK].iloc[0]],
+            BLOCK: [pdf[BLOCK].iloc[0]],
             "after": [total[1:][kept].tolist()],
             "open_at_end": [open_at_end[kept].tolist()],
             "bytes": [int(total[n])],
@@ -119,14 +120,14 @@ def _block_table(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 def _chain(pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """Bytes already open when each block begins (one row per block)."""
-    pdf = pdf.sort_values(ordered.BLOCK)
+    pdf = pdf.sort_values(BLOCK)
     carry, carries = 0, []
     for after, open_at_end, size in zip(pdf["after"], pdf["open_at_end"], pdf["bytes"]):
         carries.append(carry)
         # The first piece that no longer fits the open batch starts the block's first own batch.
         first = int(np.searchsorted(after, capacity - carry, side="right")) if carry else 0
         carry = carry + size if first >= len(after) else int(open_at_end[first])
-    return pd.DataFrame({ordered.BLOCK: pdf[ordered.BLOCK], "carry": carries})
+    return pd.DataFrame({BLOCK: pdf[BLOCK], "carry": carries})
 
 
 def pack(
@@ -136,36 +137,36 @@ def pack(
     capacity = MAX_BATCH_BYTES - len(preamble.encode())
     key = [*order, "_part"]
     placed = ordered.place(pieces(entries, order, preamble), key)
-    narrow = placed.select(ordered.BLOCK, ordered.PLACE, "cost")
+    narrow = placed.select(BLOCK, PLACE, "cost")
 
-    tables = narrow.groupBy(ordered.BLOCK).applyInPandas(
+    tables = narrow.groupBy(BLOCK).applyInPandas(
         lambda pdf: _block_table(pdf, capacity),
-        f"{ordered.BLOCK} bigint, after array<bigint>, open_at_end array<bigint>, bytes bigint",
+        f"{BLOCK} bigint, after array<bigint>, open_at_end array<bigint>, bytes bigint",
     )
     # One row per block, each with at most a batch's worth of pieces: bounded by the partition count.
     carries = tables.groupBy().applyInPandas(
-        lambda pdf: _chain(pdf, capacity), f"{ordered.BLOCK} bigint, carry bigint"
+        lambda pdf: _chain(pdf, capacity), f"{BLOCK} bigint, carry bigint"
     )
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ordered.PLACE)
+        pdf = pdf.sort_values(PLACE)
         cost, carry = pdf["cost"].to_numpy(), int(pdf["carry"].iloc[0])
         first = int(np.searchsorted(np.cumsum(cost), capacity - carry, side="right")) if carry else 0
         starts, _ = _walk(cost, first, capacity)
         flags = np.zeros(len(cost), dtype=np.int32)
         flags[starts] = 1
-        return pd.DataFrame({ordered.PLACE: pdf[ordered.PLACE], "starts": flags})
+        return pd.DataFrame({PLACE: pdf[PLACE], "starts": flags})
 
     marked = (
-        narrow.join(F.broadcast(carries), ordered.BLOCK)
-        .groupBy(ordered.BLOCK)
-        .applyInPandas(mark, f"{ordered.PLACE} bigint, starts int")
+        narrow.join(F.broadcast(carries), BLOCK)
+        .groupBy(BLOCK)
+        .applyInPandas(mark, f"{PLACE} bigint, starts int")
     )
-    lined = cut_lineage(placed.join(marked, ordered.PLACE))
+    lined = cut_lineage(placed.join(marked, PLACE))
     numbered = ordered.running_sums(lined, {"batch_no": F.col("starts")})
     # A batch is at most MAX_BATCH_BYTES, so gathering one is bounded.
     packed = numbered.groupBy("batch_no").agg(
-        F.array_sort(F.collect_list(F.struct(ordered.PLACE, "line"))).alias("_lines")
+        F.array_sort(F.collect_list(F.struct(PLACE, "line"))).alias("_lines")
     )
     body = F.array_join(F.transform("_lines", lambda x: x["line"]), "")
     return packed.select(
