@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import decontam, directcodes, packing, pii, topk, urls
+from sessionloom.llm import decontam, directcodes, near, packing, pii, quality, topk, urls
 
 RULES = (
     urls.Rule("allow", "com", "/"),
@@ -25,6 +25,16 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = quality.share(F.col("doc_id"), 3) == 1
+    model = quality.fit(quality.sample(docs, _table(spark, sf_dir, "labels").where(~held_out)))
+    scored = quality.score(docs, model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = decontam.index(_table(spark, sf_dir, "documents"))
     found = decontam.search(index, _table(spark, sf_dir, "benchmark"))
@@ -35,6 +45,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list: URLs of the pages whose number is labelled toxic."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
@@ -60,7 +74,13 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("vec_id % 100 = 0"), vectors)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op4_decontamination, op6_url_filter, op7_packing, op9_token_codes, op10_top_k)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii, op3_quality, op4_decontamination, op5_near_duplicates, op6_url_filter, op7_packing, op9_token_codes,
+        op10_top_k,
+    )
+}
 
 _REST = "CASE WHEN instr(url, '://') > 0 THEN regexp_extract(url, '(?s)^.*?://(.*)$', 1) ELSE '' END"
 ORACLE = {
