@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import decontam, directcodes, near, packing, pii, quality, topk, urls
+from sessionloom.llm import decontam, directcodes, interpolation, near, packing, pii, quality, topk, urls
 
 RULES = (
     urls.Rule("allow", "com", "/"),
@@ -64,6 +64,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remainder 2 is held out; remainder 3 is the deleted part of the training texts."""
+    part = quality.share(F.col("doc_id"), 7)
+    kind = F.when(part == 2, interpolation.UNSEEN).when(part == 3, interpolation.DELETED)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return interpolation.score(docs, F.coalesce(kind, F.lit(interpolation.RETAINED)))
+
+
 def op9_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = directcodes.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return directcodes.read_back(shards)
@@ -77,8 +85,8 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_pii, op3_quality, op4_decontamination, op5_near_duplicates, op6_url_filter, op7_packing, op9_token_codes,
-        op10_top_k,
+        op1_pii, op3_quality, op4_decontamination, op5_near_duplicates, op6_url_filter, op7_packing,
+        op8_interpolation, op9_token_codes, op10_top_k,
     )
 }
 
