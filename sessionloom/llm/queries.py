@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import decontam, directcodes, interpolation, near, packing, pii, quality, topk, urls
+from sessionloom.llm import decontam, directcodes, interpolation, near, packing, pii, quality, repeats, topk, urls
 
 RULES = (
     urls.Rule("allow", "com", "/"),
@@ -25,6 +25,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(_table(spark, sf_dir, "documents"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = quality.share(F.col("doc_id"), 3) == 1
@@ -85,7 +89,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_pii, op3_quality, op4_decontamination, op5_near_duplicates, op6_url_filter, op7_packing,
+        op1_pii, op2_repeats, op3_quality, op4_decontamination, op5_near_duplicates, op6_url_filter, op7_packing,
         op8_interpolation, op9_token_codes, op10_top_k,
     )
 }
