@@ -32,6 +32,7 @@ from sessionloom.llm.workers import slices, table
 
 WIDTH, NEAR = 10, 20
 WINDOWS_PER_BLOCK = 200_000
+BROADCAST_IDS = 4_000_000
 #: Bytes to words: letters and digits of ASCII and all bytes above it, A-Z lowered.
 WORDS = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -231,3 +232,11 @@ def search(
         "doc_id", "n_words", _union_of(F.col("spans")).alias("n_hit"), F.array_sort("spans").alias("spans"),
         F.array_sort("items").alias("items"), F.array_sort("near_items").alias("near_items"),
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``docs`` without the documents that hold a window of an item; rows without a doc_id stay."""
+    hit = search(index(docs), items, width).where("n_hit > 0 and doc_id is not null").select("doc_id")
+    hit = written(hit.distinct(), "contaminated")
+    hit = F.broadcast(hit) if hit.count() <= BROADCAST_IDS else hit
+    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)

@@ -287,3 +287,18 @@ def near_duplicates(
     joined = rows.join(named, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
+    """``docs`` with one document of each component: the one of smallest doc_id.
+
+    Of rows that share a doc_id one stays. Rows without a doc_id all stay.
+    """
+    parts = near_duplicates(docs, width, num, den)
+    stays = F.col("doc_id") == F.col("component_id")
+    ids = written(parts.where(stays).select("doc_id"), "stay")
+    unique = ids.distinct()
+    known = docs.where("doc_id is not null").join(_few(unique), "doc_id", "left_semi")
+    if ids.count() > unique.count():
+        known = known.dropDuplicates(["doc_id"])
+    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))

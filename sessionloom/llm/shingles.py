@@ -62,7 +62,7 @@ def sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarr
             yield np.unique(total[begin : end - width + 1])
         elif n:
             short = (hashes[begin:end] * weights[:n]).sum(dtype=np.uint64, keepdims=True)
-            yield mix(short + weights[width] * np.uint64(n), 2)
+            yield mix(short + weights[width:] * np.uint64(n), 2)
         else:
             yield np.zeros(0, np.uint64)
         begin = end
