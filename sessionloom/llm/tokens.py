@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 
 from sessionloom.llm.workers import per_worker
 
-WORDS_KEPT = 300_000
+PIECES_KEPT, WORDS_KEPT = 300_000, 600_000
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 PLAIN_BELOW = "ɐ"
 
@@ -27,15 +28,16 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Words(dict):
-    """Ids of a word as bytes, worked out on first use; at most ``WORDS_KEPT`` are kept."""
+    """Ids of a string as bytes, worked out on first use; a bounded number are kept."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, kept: int):
         super().__init__()
-        self.encode = encode
+        self.encode, self.room = encode, kept
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encode(word)
-        if len(self) < WORDS_KEPT:
+        if self.room > 0:
+            self.room -= 1
             self[word] = ids
         return ids
 
@@ -56,10 +58,13 @@ class Encoder:
         dropped = names == [("Split", "Removed", True, None), ("ByteLevel", None, None, False)]
         dropped = dropped and norms == ["NFC", "Replace", "Lowercase"]
         self.encode = self._spaced if spaced else self._dropped if dropped else self._whole
+        self.model = self.tokenizer.model
         self.lowered = dropped
-        self.pieces = _Words(self._piece)
-        self.words = _Words(self._word)
-        self.first = _Words(self._word)
+        # Pieces as they stand between blanks are many; what most of them share, the
+        # letters without closing punctuation, has the larger cache.
+        self.pieces = _Words(self._piece if spaced else self._word, PIECES_KEPT)
+        self.letter_runs = _Words(self._letters, WORDS_KEPT)
+        self.others = _Words(self._whole, PIECES_KEPT)
         self.odd_spaces = re.compile("[\x1c-\x1f]")
 
     def _whole(self, text: str) -> bytes:
@@ -68,26 +73,26 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         """Ids of one blank and a piece, or of a piece that begins with its own line end."""
         if piece[0] == "\n":
-            return self.pieces_of_line(piece)
-        return self.words[" " + piece]
-
-    def pieces_of_line(self, piece: str) -> bytes:
-        return self.first["\n"] + self.first[piece[1:]]
+            return self.others["\n"] + self._word(piece[1:])
+        return self._word(" " + piece)
 
     def _word(self, word: str) -> bytes:
         """A run of letters and a run of punctuation are each one item for the model."""
         core = word.rstrip(PUNCTUATION)
         letters = core[1:] if core[:1] == " " else core
-        if not letters.isalpha() or max(letters) >= PLAIN_BELOW:
-            return self._whole(word)
-        if len(core) < len(word):
-            return self.words[core] + self.first[word[len(core):]]
+        if not letters.isalpha() or not letters.isascii() and max(letters) >= PLAIN_BELOW:
+            return self.others[word]
+        if len(core) == len(word):
+            return self.letter_runs[word]
+        return self.letter_runs[core] + self.others[word[len(core) :]]
+
+    def _letters(self, core: str) -> bytes:
         if self.lowered:
             core = core.lower() if core.isascii() else self.tokenizer.normalizer.normalize_str(core)
             if not core.isalpha():
-                return self._whole(word)
+                return self._whole(core)
         mapped = core.encode().decode("latin-1").translate(self.letters)
-        return np.asarray([t.id for t in self.tokenizer.model.tokenize(mapped)], self.dtype).tobytes()
+        return array(self.dtype.char, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _spaced(self, text: str) -> bytes:
         if not text:
@@ -96,13 +101,13 @@ class Encoder:
             return self._whole(text)
         head, *rest = text.replace("\n", " \n").split(" ")
         pieces = self.pieces
-        return self.first[head] + b"".join([pieces[p] for p in rest])
+        return self._word(head) + b"".join([pieces[p] for p in rest])
 
     def _dropped(self, text: str) -> bytes:
         if self.odd_spaces.search(text):
             return self._whole(text)
-        words = self.words
-        return b"".join([words[w] for w in text.split()])
+        pieces = self.pieces
+        return b"".join([pieces[w] for w in text.split()])
 
     def ids(self, text: str | None, end: int | None = None) -> np.ndarray:
         """Ids of the whole text (null: none), then the end id."""
