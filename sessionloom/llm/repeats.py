@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.packing import written
 from sessionloom.llm.shingles import BASE, mix, powers
-from sessionloom.llm.workers import per_worker, slices, table, utf8
+from sessionloom.llm.workers import fresh, per_worker, slices, table, utf8
 
 LENGTH, GRAM = 100, 32
 WIDE = 2_000
@@ -417,22 +417,22 @@ def digests(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated bytes cut out of ``text``; broken characters become U+FFFD."""
-    schema = docs.schema
+    schema, key, listed = docs.schema, fresh("_key", docs.columns), fresh("_spans", docs.columns)
     spans = repeated_spans(keyed(docs), length)
-    rows = docs.withColumn("_key", F.coalesce("doc_id", F.lit(FIRST)))
-    grouped = spans.groupBy(F.col("doc").alias("_key")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    rows = docs.withColumn(key, F.coalesce("doc_id", F.lit(FIRST)))
+    grouped = spans.groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("start", "end")).alias(listed))
 
     def cut(batches):
         for batch in slices(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             left = [
                 None if t is None else b"".join(_kept(t, s or [])[1]).decode("utf-8", "replace")
-                for t, s in zip(texts, batch.column("_spans").to_pylist())
+                for t, s in zip(texts, batch.column(listed).to_pylist())
             ]
             columns = [pa.array(left, pa.string()) if n == "text" else batch.column(n) for n in schema.names]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.join(grouped, "_key", "left").drop("_key").mapInArrow(cut, schema)
+    return rows.join(grouped, key, "left").drop(key).mapInArrow(cut, schema)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
