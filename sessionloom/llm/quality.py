@@ -133,8 +133,6 @@ def logits(model: Model, pooled: np.ndarray) -> np.ndarray:
 
 
 def probability(model: Model, pooled: np.ndarray) -> np.ndarray:
-    if model.constant is not None:
-        return np.full(len(pooled), model.constant)
     return 1 / (1 + np.exp(-np.clip(logits(model, pooled) / model.temperature, -500, 500)))
 
 
@@ -214,10 +212,12 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             if model.constant is None:
-                pooled = np.stack([pool(tokens.numbers(t), model.vectors) for t in texts])
+                # Row by row: the last digits then do not depend on the rows beside it.
+                pooled = [pool(tokens.numbers(t), model.vectors)[None] for t in texts]
+                scores = np.concatenate([probability(model, row) for row in pooled])
             else:
-                pooled = np.zeros((len(texts), 1))
-            columns = [*batch.columns, pa.array(probability(model, pooled))]
+                scores = np.full(len(texts), model.constant)
+            columns = [*batch.columns, pa.array(scores)]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, name])
 
     return docs.mapInArrow(classify, schema)
