@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sessionloom.functions.scores import mapped
+from sessionloom.sources.records import trim_all
 
 # Number words that are understood.
 NUMBER_WORDS = {
@@ -22,7 +23,7 @@ NON_FINITE = r"^[+-]?(inf|infinity|nan)$"
 
 def parse_number(text: Column) -> Column:
     """A float, else the first digit run, else a leading number word, else NULL."""
-    cleaned = F.regexp_replace(F.lower(F.trim(text)), r"(-plus)+$", "")
+    cleaned = F.regexp_replace(F.lower(trim_all(text)), r"(-plus)+$", "")
     run = F.regexp_extract(cleaned, r"[0-9.]+", 0)
     word = F.regexp_extract(cleaned, r"[a-z]+", 0)
     return F.coalesce(

@@ -56,7 +56,10 @@ def matches(names: DataFrame, registry: DataFrame) -> DataFrame:
         probes.join(heads, "gram").where(F.contains("run", "keyword")).select("run", "keyword").distinct()
     )
     pairs = runs.join(hits, "run").select("tool", "keyword").distinct()
-    named = pairs.join(wanted, "keyword").select("name", "tool").distinct()
+    # The first tools of a name are among the first tools of its keywords.
+    place = F.row_number().over(Window.partitionBy("keyword").orderBy("tool"))
+    first = pairs.withColumn("_place", place).where(F.col("_place") <= MAX_MATCHES).select("tool", "keyword")
+    named = first.join(wanted, "keyword").select("name", "tool").distinct()
     rank = F.row_number().over(Window.partitionBy("name").orderBy("tool"))
     top = named.withColumn("_rank", rank).where(F.col("_rank") <= MAX_MATCHES)
     return top.groupBy("name").agg(F.array_sort(F.collect_list("tool")).alias("existing_matches"))

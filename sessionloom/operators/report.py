@@ -11,8 +11,6 @@ from sessionloom.functions.scores import friction_score, two_decimals
 from sessionloom.operators import ordered
 from sessionloom.operators.patterns import by_impact
 
-ITEMS_PER_ROW = 1_000
-
 
 def count_row(counts: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
     """One row with a named aggregate from each table, without joining the tables."""
@@ -76,27 +74,26 @@ def user_behaviour(patterns: DataFrame, events: DataFrame) -> DataFrame:
     return from_patterns.where(F.col("bucket").isNotNull()).unionByName(from_events)
 
 
-def model_weaknesses(patterns: DataFrame, items_per_row: int = ITEMS_PER_ROW) -> DataFrame:
-    """Descriptions per model joined with "; ", strongest first.
-
-    A model with more than ``items_per_row`` failures continues in further rows
-    (``part`` 1, 2, ...), so no task gathers an unbounded list; up to that size
-    there is exactly one row per model.
-    """
-    failures = patterns.where(F.col("pattern_type") == "ModelFailure").withColumn(
+def _failures_by_model(patterns: DataFrame) -> DataFrame:
+    return patterns.where(F.col("pattern_type") == "ModelFailure").withColumn(
         "model", F.coalesce("first_harness", F.lit("unknown"))
     )
-    placed = ordered.place(failures, [F.col("model").asc(), *by_impact()])
-    listed = ordered.running_sums(placed, {"_n": F.lit(1)}, ["model"])
-    part = (F.floor((F.col("_n") - 1) / items_per_row) + 1).cast("int")
-    gathered = listed.groupBy("model", part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("_n", "description"))).alias("_items")
-    )
-    return gathered.select(
-        "model", "part",
-        F.array_join(F.transform("_items", lambda i: i["description"]), "; ").alias("weakness"),
-        F.size("_items").cast("bigint").alias("frequency"),
-    )
+
+
+def model_weaknesses(patterns: DataFrame) -> DataFrame:
+    """One row per model with its number of failures; the texts are ``model_weakness_items``."""
+    return _failures_by_model(patterns).groupBy("model").agg(F.count("*").alias("frequency"))
+
+
+def model_weakness_items(patterns: DataFrame) -> DataFrame:
+    """(model, seq, description): a model's failures numbered from 1, strongest first.
+
+    Joined by "; " in this order they are the model's weakness text, and one by one
+    its examples; as rows they need no task that holds all of a model's texts.
+    """
+    placed = ordered.place(_failures_by_model(patterns), [F.col("model").asc(), *by_impact()])
+    listed = ordered.running_sums(placed, {"seq": F.lit(1).cast("bigint")}, ["model"])
+    return listed.select("model", "seq", "description")
 
 
 def harness_weaknesses(patterns: DataFrame, harnesses: DataFrame) -> DataFrame:

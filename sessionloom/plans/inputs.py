@@ -125,7 +125,7 @@ INPUTS = {
         SELECT 'run-' || CAST(date_trunc('hour', ts) AS STRING) AS run_id,
                CASE event_id % 3 WHEN 0 THEN 'MissingContext' WHEN 1 THEN 'MissingTool'
                  ELSE 'Hallucination' END AS category
-        FROM {events} WHERE event_type IN ('click', 'error')""",
+        FROM {events}""",
     "run_patterns": f"""
         SELECT 'run-' || CAST(date_trunc('hour', ts) AS STRING) AS run_id,
                CASE event_type WHEN 'signup' THEN 'RepeatedCommand' WHEN 'view' THEN 'RepeatedPrompt'
@@ -137,10 +137,10 @@ INPUTS = {
         FROM {{events}} GROUP BY 1, 2, 3""",
     "attempts": """
         SELECT event_id AS attempt_id, 'route-' || CAST(user_id % 8 AS STRING) AS route, ts,
-               event_type = 'purchase' AS success,
-               CASE WHEN event_type = 'purchase' THEN 200 WHEN event_id % 10 = 0 THEN 401
+               event_type IN ('purchase', 'signup') AS success,
+               CASE WHEN event_type IN ('purchase', 'signup') THEN 200 WHEN event_id % 10 = 0 THEN 401
                  WHEN event_id % 10 < 3 THEN 429 ELSE 500 END AS status
-        FROM {events} WHERE event_type IN ('error', 'purchase')""",
+        FROM {events}""",
     "file_status": """
         SELECT event_type AS harness, '/logs/' || event_type AS path,
                '/logs/' || event_type || '/' || CAST(user_id AS STRING) AS source_path,
@@ -182,7 +182,8 @@ INPUTS = {
                  WHEN 2 THEN '2026-08-07 10:00:01'
                  WHEN 3 THEN '2026-08-07T10:00:02'
                  WHEN 4 THEN '2026-08-07T10:00:0x'
-                 ELSE 'plain' END || ' ' || event_type || ' note ' || CAST(user_id AS STRING) AS line
+                 ELSE 'plain' END || ' ' || CASE event_id % 5 WHEN 0 THEN 'step 1' || chr(13) || 'step 2 '
+                   WHEN 1 THEN 'one\u2028two' || chr(133) || 'three ' ELSE '' END || event_type || ' note ' || CAST(user_id AS STRING) AS line
         FROM {events}""",
     "json_records": """
         SELECT event_id AS id, ts,
@@ -194,14 +195,20 @@ INPUTS = {
                  WHEN 4 THEN '{{"body":"' || event_type || '"'
                  ELSE '{{"content":"a"}} trailing' END AS line
         FROM {events}""",
+    # All eight lists, with full, short, bare-number and prose-number forms; every third
+    # response has trailing commas, one inside a string literal must stay.
     "responses": f"""
         SELECT event_id AS batch_no,
                'Here you go: {{{{"model_failures":[{{{{"model":"m' || CAST(user_id % 3 AS STRING) || '","issue":"i","frequency":"'
                || CASE event_id % 4 WHEN 0 THEN '12-plus' WHEN 1 THEN 'three' WHEN 2 THEN '7 times' ELSE '4' END
-               || '","example":"e"}}}},"short note"],"harness_friction":[],"missing_tooling":[],"workflow_bottlenecks":[],'
-               || '"repeated_commands":[],"repeated_prompts":[],"context_loss":[]'
-               || CASE WHEN event_id % 5 = 0 THEN '' ELSE ',"automation_opportunities":[]' END || '}}}} done' AS text
-        FROM {{events}}""",
+               || '","example":"e,]"}}}},"short note"' || c || '],"harness_friction":[{{{{"harness":"h' || CAST(user_id % 4 AS STRING)
+               || '","issue":"slow","severity":0.25' || c || '}}}}],"missing_tooling":["a linter"' || c || '],"workflow_bottlenecks":[{{{{"description":"wait '
+               || CAST(user_id % 9 AS STRING) || '","frequency":' || CAST(user_id % 50 AS STRING) || ',"time_impact_minutes":ten minutes}}}}'
+               || c || '],"repeated_commands":[{{{{"command":"git ,}}}} x","frequency":2,"context":"c"}}}}],"repeated_prompts":["again"],"context_loss":'
+               || '[{{{{"description":"lost","affected_segments":["s1","s' || CAST(user_id % 6 AS STRING) || '"' || c || ']}}}}]'
+               || CASE WHEN event_id % 5 = 0 THEN '' ELSE ',"automation_opportunities":[{{{{"description":"d","estimated_time_saved":"'
+                    || CAST(user_id % 40 AS STRING) || ' minutes","confidence":0.5}}}}' || c || ']' END || c || '}}}} done' AS text
+        FROM (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN ', ' ELSE '' END AS c FROM {{events}})""",
     "prose_numbers": f"""
         SELECT event_id,
                CASE event_id % 8 WHEN 0 THEN CAST({_K} AS STRING) || '-plus' WHEN 1 THEN 'about ' || CAST({_K} AS STRING) || ' minutes'

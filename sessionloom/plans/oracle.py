@@ -204,7 +204,7 @@ add(
           CASE WHEN least(len(coalesce(existing_matches, [])) / 3.0, 1.0) >= 0.34 THEN 'medium' ELSE 'high' END, 0, NULL, NULL
         FROM kept_clusters LEFT JOIN matches USING (name)""",
     counts="""SELECT (SELECT count(*) FROM raw_entries) AS raw_entries, (SELECT count(*) FROM norm_entries) AS normalized_entries,
-          (SELECT count(DISTINCT user_id) FROM norm_entries) AS segments,
+          (SELECT count(DISTINCT (user_id, segment_no)) FROM r_seg) AS segments,
           (SELECT sum(len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '')))::BIGINT FROM norm_entries) AS tokens,
           (SELECT count(*) FROM merged) AS patterns, (SELECT count(*) FROM merged WHERE impact_score > 0.7) AS high_impact,
           (SELECT count(*) FROM steered) AS steering, (SELECT count(*) FROM cands) AS interventions""",
@@ -279,7 +279,7 @@ SELECTS: dict[str, str] = {
     "token_estimate": """SELECT role, count(*) AS entries, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')))::BIGINT AS tokens
         FROM conversations WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' GROUP BY role""",
     "inline_timestamps": """SELECT id, coalesce(stamp, ts) AS ts, CASE WHEN stamp IS NULL THEN line ELSE
-          regexp_replace(line, '^[0-9T:.+Z-]+( [0-9:]+)? ', '') END AS content
+          regexp_replace(line, '^[0-9T:.+Z-]+( [0-9:]+)? ', '', 's') END AS content
         FROM (SELECT *, make_timestamp(epoch_us(try_cast(regexp_extract(line, '^([0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}:[0-9]{2}[0-9.]*(Z|[+-][0-9:]+)?) ', 1)
                 AS TIMESTAMPTZ))) AS stamp
               FROM text_lines)""",
@@ -301,9 +301,18 @@ SELECTS: dict[str, str] = {
     "ingestion_rollup": """SELECT harness, sum(seen)::BIGINT AS files_seen, sum(failed)::BIGINT AS files_failed,
         sum(accepted)::BIGINT AS entries_accepted, count(warning) AS warnings FROM file_status GROUP BY ROLLUP (harness)""",
     "ingestion_warnings": "SELECT harness, path, warning FROM file_status WHERE warning IS NOT NULL",
-    "parsed_responses": """SELECT event_id AS batch_no, 'm' || (user_id % 3) AS model, 'i' AS issue,
-        [12, 3, 7, 4][event_id % 4 + 1]::BIGINT AS frequency, 'e' AS example FROM events WHERE event_id % 5 <> 0
-        UNION ALL SELECT event_id, 'unknown', 'short note', 1, '' FROM events WHERE event_id % 5 <> 0""",
+    "parsed_responses": """SELECT event_id AS batch_no, unnest(['model_failures', 'model_failures', 'harness_friction', 'missing_tooling',
+          'workflow_bottlenecks', 'repeated_commands', 'repeated_prompts', 'context_loss', 'automation_opportunities']) AS kind,
+        unnest([printf('{"model":"m%d","issue":"i","frequency":%d,"example":"e,]"}', user_id % 3, [12, 3, 7, 4][event_id % 4 + 1]),
+          '{"model":"unknown","issue":"short note","frequency":1,"example":""}',
+          printf('{"harness":"h%d","issue":"slow","severity":0.25}', user_id % 4),
+          '{"tool_name":"candidate-capability","purpose":"a linter","estimated_value":0.5}',
+          printf('{"description":"wait %d","frequency":%d,"time_impact_minutes":10.0}', user_id % 9, user_id % 50),
+          '{"command":"git ,} x","frequency":2,"context":"c"}',
+          '{"prompt_pattern":"again","frequency":1,"suggested_improvement":""}',
+          printf('{"description":"lost","affected_segments":["s1","s%d"]}', user_id % 6),
+          printf('{"description":"d","estimated_time_saved":%d.0,"confidence":0.5}', user_id % 40)]) AS finding
+        FROM events WHERE event_id % 5 <> 0""",
     "rejected_responses": "SELECT event_id AS batch_no FROM events WHERE event_id % 5 = 0",
     "tokenize_stats": f"""SELECT doc_id, len(t)::BIGINT AS tokens, len(list_distinct(t))::BIGINT AS distinct_words,
         md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {words("text")} AS t FROM documents)""",
@@ -375,9 +384,11 @@ SELECTS: dict[str, str] = {
           AND (contains(description, 'install') OR contains(description, 'package'))
         UNION ALL SELECT 'repeated_file_navigation', context FROM steered
           WHERE contains(context, 'cd') OR contains(context, 'ls') OR contains(context, 'find')) GROUP BY bucket, item""",
-    "model_weaknesses": f"""SELECT coalesce(first_harness, 'unknown') AS model, 1 AS part,
-        string_agg(description, '; ' ORDER BY {_BY_IMPACT}) AS weakness, count(*) AS frequency
+    "model_weaknesses": """SELECT coalesce(first_harness, 'unknown') AS model, count(*) AS frequency
         FROM merged WHERE pattern_type = 'ModelFailure' GROUP BY 1""",
+    "model_weakness_items": f"""SELECT coalesce(first_harness, 'unknown') AS model,
+        row_number() OVER (PARTITION BY coalesce(first_harness, 'unknown') ORDER BY {_BY_IMPACT}) AS seq, description
+        FROM merged WHERE pattern_type = 'ModelFailure'""",
     "harness_weaknesses": """SELECT harness, 'General friction detected' AS weakness, round(avg(impact_score), 6) AS severity
         FROM merged m JOIN harnesses h ON h.pattern_type = m.pattern_type AND h.leader = m.idx
         WHERE m.pattern_type = 'HarnessFriction' GROUP BY harness""",
@@ -408,13 +419,16 @@ SELECTS: dict[str, str] = {
         || ' normalized events across ' || segments || ' segments (~' || tokens || ' estimated input tokens). Found ' || patterns
         || ' patterns and ' || steering || ' human steering events; ' || high_impact || ' high-impact opportunities require follow-up.' AS executive_summary
         FROM counts""",
-    "analysis_summary": "SELECT * FROM counts",
+    "analysis_summary": "SELECT *, NULL::VARCHAR AS remote_analysis_consent FROM counts",
     "friction_score": """SELECT round(greatest(least((high_impact / (high_impact + 5.0) + steering / (steering + 20.0)) / 2.0, 1.0), 0.0), 6) AS score
         FROM counts""",
     "run_envelope_headers": """SELECT run_id, printf('{"schema_version":1,"run":{"id":"%s","generated_at":"%sZ","source":{"id":"device-1",'
-          || '"cli_version":"1.0"},"summary":"summary of %s","pipeline":{"raw_entries":%d,"normalized_entries":%d,"segments":1,'
-          || '"estimated_input_tokens":%d}}}', run_id, strftime(generated_at, '%Y-%m-%dT%H:%M:%S.%f'), date, raw_entries, raw_entries, raw_entries * 6)
-          AS envelope, 'accept' AS decision FROM runs""",
+          || '"cli_version":"1.0"},"summary":"summary of %s","pipeline":{"raw_entries":%d,"normalized_entries":%d,"segments":%d,'
+          || '"estimated_input_tokens":%d}}}', run_id, strftime(generated_at, '%Y-%m-%dT%H:%M:%S.%f'), date, raw_entries, coalesce(n, 0), coalesce(s, 0), coalesce(t, 0))
+          AS envelope, 'accept' AS decision FROM runs LEFT JOIN (
+            SELECT 'run-' || date_trunc('hour', e.ts)::TIMESTAMP AS run_id, count(*) AS n, count(DISTINCT (r.user_id, segment_no)) AS s,
+              sum(len(list_filter(string_split_regex(e.content, '\\s+'), lambda w: w <> '')))::BIGINT AS t
+            FROM norm_entries e JOIN r_seg r ON r.id = e.id GROUP BY 1) USING (run_id)""",
     "envelope_validation": """SELECT page_id, d AS decision, CASE WHEN d = 'accept' THEN 'escalate: validation threshold is below the safe minimum'
         ELSE d END AS low_threshold_decision FROM (SELECT page_id, CASE WHEN json_type(envelope) <> 'OBJECT' THEN 'reject: run envelope must be a JSON object'
           WHEN coalesce(envelope->>'$.schema_version', '') <> '1' THEN 'reject: unsupported or missing schema_version'
@@ -455,7 +469,7 @@ SELECTS: dict[str, str] = {
         FROM streaks GROUP BY route""",
     "pilot_weekly": """SELECT cohort, date_trunc('week', started_at)::TIMESTAMP AS week, count(*) AS sessions, round(avg(repeated::INT), 6) AS rework_rate,
         round(avg(steering), 6) AS steering_per_session, sum(context_loss)::BIGINT AS context_loss, sum(missing_tool)::BIGINT AS missing_tool,
-        round(median(round(resolution_minutes, 1)), 6) AS median_resolution_minutes, sum(adopted::INT)::BIGINT AS adoption,
+        round(median(resolution_minutes), 6) AS median_resolution_minutes, sum(adopted::INT)::BIGINT AS adoption,
         round(sum(accepted) / sum(files), 6) AS completeness, sum(privacy_exceptions)::BIGINT AS privacy_exceptions
         FROM sessions GROUP BY 1, 2 HAVING count(*) >= 5""",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -125,8 +126,17 @@ def ingestion_warnings(spark, sf_dir):
 
 @query
 def parsed_responses(spark, sf_dir):
+    """The findings of all eight kinds, each as one JSON text."""
     tables, _ = responses.parse(widen(load(spark, sf_dir, "responses")))
-    return tables["model_failures"].drop("ord")
+    return _as_text(tables)
+
+
+def _as_text(tables: dict[str, DataFrame]) -> DataFrame:
+    parts = [
+        df.select("batch_no", F.lit(kind).alias("kind"), F.to_json(F.struct(*[n for n, _, _ in responses.KINDS[kind]])).alias("finding"))
+        for kind, df in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
@@ -408,6 +418,11 @@ def model_weaknesses(spark, sf_dir):
     return report.model_weaknesses(stages.merged_patterns(spark, sf_dir))
 
 
+@query
+def model_weakness_items(spark, sf_dir):
+    return report.model_weakness_items(stages.merged_patterns(spark, sf_dir))
+
+
 @query
 def harness_weaknesses(spark, sf_dir):
     weak = report.harness_weaknesses(stages.merged_patterns(spark, sf_dir), stages.harnesses(spark, sf_dir))
@@ -484,12 +499,13 @@ def backlog_fan_out(spark, sf_dir):
 def _counts(spark, sf_dir) -> DataFrame:
     raw = load(spark, sf_dir, "raw_entries")
     clean = normalize.normalize(raw)
+    segmented = segment.segment(clean, ["user_id"], ORDER)
     merged = stages.merged_patterns(spark, sf_dir)
     tokens = text.space_separated_words(F.col("content"))
     return report.count_row(
         {
             "raw_entries": (raw, F.count("*")), "normalized_entries": (clean, F.count("*")),
-            "segments": (clean, F.count_distinct("user_id")), "tokens": (clean, F.sum(tokens)),
+            "segments": (segmented, F.count_distinct("user_id", "segment_no")), "tokens": (clean, F.sum(tokens)),
             "patterns": (merged, F.count("*")), "high_impact": (merged, F.count_if(F.col("impact_score") > 0.7)),
             "steering": (stages.steering_events(spark, sf_dir), F.count("*")),
             "interventions": (_candidates(spark, sf_dir), F.count("*")),
@@ -504,7 +520,8 @@ def executive_summary(spark, sf_dir):
 
 @query
 def analysis_summary(spark, sf_dir):
-    return _counts(spark, sf_dir)
+    """The counts and the consent to remote analysis, unknown for local rows."""
+    return _counts(spark, sf_dir).withColumn("remote_analysis_consent", F.lit(None).cast("string"))
 
 
 @query
@@ -515,10 +532,18 @@ def friction_score(spark, sf_dir):
 @query
 def run_envelope_headers(spark, sf_dir):
     """The JSON header of every run with the gate's verdict on it."""
-    rows = load(spark, sf_dir, "runs").select(
+    clean = normalize.normalize(load(spark, sf_dir, "raw_entries"))
+    segmented = segment.segment(clean, ["user_id"], ORDER)
+    own = F.concat(F.lit("run-"), F.date_trunc("hour", "ts").cast("string")).alias("run_id")
+    names = ["normalized_entries", "segments", "estimated_input_tokens"]
+    counted = segmented.groupBy(own).agg(
+        F.count("*").alias(names[0]), F.count_distinct("user_id", "segment_no").alias(names[1]),
+        F.sum(text.space_separated_words(F.col("content"))).cast("bigint").alias(names[2]),
+    )
+    runs = load(spark, sf_dir, "runs").join(counted, "run_id", "left")
+    rows = runs.select(
         "run_id", "generated_at", F.concat(F.lit("summary of "), "date").alias("executive_summary"), "raw_entries",
-        F.col("raw_entries").alias("normalized_entries"), F.lit(1).alias("segments"),
-        (F.col("raw_entries") * 6).alias("estimated_input_tokens"),
+        *[F.coalesce(name, F.lit(0)).cast("bigint").alias(name) for name in names],
     )
     headers = candidates.envelopes(rows, "device-1", "1.0")
     return headers.withColumn("decision", privacy.validate_envelope(F.col("envelope"), 0.9))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 CONTENT_FIELDS = ("content", "message", "text", "body", "msg")
 TIME_FIELDS = ("timestamp", "ts")
 MILLIS_ABOVE = 1_000_000_000_000
-
+# Fixed value: the stamp that may lead a line. With (?d) only \n ends a line, so a
+# carriage return or a Unicode line separator belongs to the text.
 LINE_STAMP = (
-    r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)(?U)\s*(.*)$"
+    r"(?d)^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)(?U)\s*(.*)$"
 )
 RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 NAIVE = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}$"

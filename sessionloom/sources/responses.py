@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.prose_numbers import parse_number
 from sessionloom.functions.text import computed_once
+from sessionloom.operators import ordered
 from sessionloom.session import cut_lineage
 
 # Per kind its fields as (name, type, default for a shorthand string);
@@ -43,10 +44,14 @@ NUMERIC_FIELDS = (
 # Any value of a numeric field, quoted or bare, up to the next comma, brace or line end.
 NUMERIC_VALUE = (
     rf'(?i)(?:"({NUMERIC_FIELDS})"|({NUMERIC_FIELDS}))'
-    r"""\s*:\s*(?:"([^"]*)"|'([^']*)'|([^,}\n"\\]+)[^,}\n]*)"""
+    # A quote in single quotes cannot be put into double ones; such a value stays as it is.
+    r"""\s*:\s*(?:"([^"]*)"|'([^'"]*)'|(?!')([^,}\n"\\]+)[^,}\n]*)"""
 )
 LENIENT = {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true", "allowComments": "true"}
-POSITION_BITS = 20
+# A string literal, which is kept, or a comma with nothing but space before a closing bracket.
+TRAILING_COMMA = (
+    r"""(?s)("(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+')|,(\s*[}\]])"""
+)
 
 
 def json_object_text(text: Column) -> Column:
@@ -59,8 +64,15 @@ def quote_numbers(text: Column) -> Column:
     return F.regexp_replace(text, NUMERIC_VALUE, '"$1$2":"$3$4$5"')
 
 
+def without_trailing_commas(text: Column) -> Column:
+    return F.regexp_replace(text, TRAILING_COMMA, "$1$2")
+
+
 def parse_object(text: Column) -> Column:
-    return F.from_json(quote_numbers(json_object_text(text)), "variant", LENIENT)
+    """The response's JSON object; commas before a closing bracket are forgiven."""
+    quoted = quote_numbers(json_object_text(text))
+    strict = F.from_json(quoted, "variant", LENIENT)
+    return F.coalesce(strict, F.from_json(without_trailing_commas(quoted), "variant", LENIENT))
 
 
 # A JSON value is carried as a struct of the variant and its type name, so the
@@ -144,7 +156,9 @@ def _items(items: Column, fields: list[tuple]) -> Column:
 def parse(responses: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     """({kind: findings}, rejected) from ``responses(batch_no bigint, text)``.
 
-    Findings carry ``batch_no`` and ``ord``, the order of batch then position.
+    Findings carry ``batch_no`` and ``ord``, their number in the order of batch then
+    position: each response gets as many numbers as its longest list needs, after
+    those of all responses before it.
     """
     parsed = responses.select("*", computed_once(parse_object(F.col("text"))).alias("_object"))
     findings = [
@@ -152,13 +166,18 @@ def parse(responses: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
         for kind, fields in KINDS.items()
     ]
     # Nine tables read the result; writing it parses each response once.
-    parsed = cut_lineage(parsed.select("batch_no", "text", *findings))
+    needed = F.greatest(*[F.coalesce(F.size(kind), F.lit(0)) for kind in KINDS])
+    parsed = parsed.select("batch_no", "text", F.monotonically_increasing_id().alias("_row"), *findings)
+    parsed = cut_lineage(parsed.withColumn("_needed", needed.cast("bigint")))
+    placed = ordered.place(parsed.select("batch_no", "_row", "_needed"), ["batch_no", "_row"])
+    numbered = ordered.running_sums(placed, {"_upto": F.col("_needed")})
+    starts = numbered.select("_row", (F.col("_upto") - F.col("_needed")).alias("_start"))
+    parsed = parsed.join(starts, "_row")
     accepted = F.lit(True)
     for kind in KINDS:
         accepted = accepted & F.coalesce(F.forall(kind, lambda x: x.isNotNull()), F.lit(False))
     tables = {}
     for kind in KINDS:
-        exploded = parsed.where(accepted).select("batch_no", F.posexplode(kind).alias("_pos", "_f"))
-        order = F.shiftleft(F.col("batch_no"), POSITION_BITS) + F.col("_pos")
-        tables[kind] = exploded.select("batch_no", order.alias("ord"), "_f.*")
+        exploded = parsed.where(accepted).select("batch_no", "_start", F.posexplode(kind).alias("_pos", "_f"))
+        tables[kind] = exploded.select("batch_no", (F.col("_start") + F.col("_pos")).alias("ord"), "_f.*")
     return tables, parsed.where(~accepted).select("batch_no", "text")

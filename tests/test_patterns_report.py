@@ -146,9 +146,9 @@ def test_registry_matching_equals_substring_search(spark):
     assert {r.name: r.existing_matches for r in got.collect()} == {"tool-workflow": ["a", "b"], "über": ["a", "f"], "日本": ["d"]}
 
 
-def test_model_weakness_rows_continue_in_parts(spark):
+def test_model_weaknesses_and_their_items(spark):
     rows = [("ModelFailure", i, f"d{i}", 0.9 - i / 100, "m") for i in range(5)]
     df = spark.createDataFrame(rows, "pattern_type string, idx long, description string, impact_score double, first_harness string")
-    got = {r.part: (r.weakness, r.frequency) for r in report.model_weaknesses(df, items_per_row=2).collect()}
-    assert got == {1: ("d0; d1", 2), 2: ("d2; d3", 2), 3: ("d4", 1)}
-    assert report.model_weaknesses(df).collect()[0].weakness == "d0; d1; d2; d3; d4"
+    assert [tuple(r) for r in report.model_weaknesses(df).collect()] == [("m", 5)]
+    got = sorted(tuple(r) for r in report.model_weakness_items(df).collect())
+    assert got == [("m", i + 1, f"d{i}") for i in range(5)]
