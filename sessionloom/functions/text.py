@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 # Fixed value: the words ignored by every similarity measure.
 STOPWORDS = (
-    "the a an and or but in on at to for of with by from as is was are this that it i you we he "
-    "she they be been have has had do does did will would could should may might can not no yes "
-    "ok so if then than when where what how why who which there here"
-).split()
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from",
+    "as", "is", "was", "are", "this", "that", "it", "i", "you", "we", "he", "she", "they", "be",
+    "been", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may",
+    "might", "can", "not", "no", "yes", "ok", "so", "if", "then", "than", "when", "where", "what",
+    "how", "why", "who", "which", "there", "here",
+)
 
 WORD_BREAK = r"[^\p{IsAlphabetic}\p{N}]+"
 SPACE_RUN = r"(?U)\s+"

@@ -11,42 +11,56 @@ from pyspark.sql import functions as F
 from sessionloom.functions.scores import mapped
 from sessionloom.functions.text import computed_once
 
-# Categories in priority order with their phrases, matched on lowercase
-# text. A plain phrase is searched for as it is; a pattern is tried only on texts
-# that contain the words before the colon.
+# Categories in priority order with their phrases, matched on lowercase text.
 PHRASES = {
     "MissingTool": [
-        r"i wish i had", r"we need a tool for", r"there should be a command",
-        "missing:missing.*tool", "would be nice if:would be nice if.*could",
+        r"i wish i had", r"we need a tool for", r"there should be a command", r"missing.*tool",
+        r"would be nice if.*could",
     ],
     "MissingContext": [
-        r"we already decided", r"you forgot", r"as i mentioned", r"remember that",
-        r"we discussed", r"losing context",
+        r"we already decided", r"you forgot", r"as i mentioned", r"remember that", r"we discussed",
+        r"losing context",
     ],
     "WrongAbstraction": [
         r"that's not what i asked", r"you're solving the wrong problem", r"wrong approach",
         r"not the right abstraction", r"misunderstood the requirement",
     ],
     "ExcessVerbosity": [
-        r"be more concise", r"too verbose", r"shorter:\bshorter\b", r"get to the point",
-        r"less detail", r"keep it brief",
+        r"be more concise", r"too verbose", r"\bshorter\b", r"get to the point", r"less detail",
+        r"keep it brief",
     ],
     "Hallucination": [
-        "doesn't exist:that.*doesn't exist", "no such:no such.*api", r"that command doesn't", r"invented:\binvented\b",
-        r"hallucinated:\bhallucinated\b", r"not a real",
+        r"that.*doesn't exist", r"no such.*api", r"that command doesn't", r"\binvented\b",
+        r"\bhallucinated\b", r"not a real",
     ],
     "ArchitecturalMismatch": [
         r"doesn't fit the workflow", r"architectural mismatch", r"wrong for this use case",
         r"doesn't scale", r"not the right fit",
     ],
     "ManualRepetition": [
-        r"again:\b(?:do|run|execute|perform|say|write|try)\s+(?:it|that|this)\s+again\b",
-        r"repeat:\brepeat(?:\s+(?:that|this|it|the\s+\w+))?\b", r"same as before:\bsame as before\b",
-        r"do it again:\bdo it again\b",
-        r"like last time:\blike last time\b",
+        r"\b(?:do|run|execute|perform|say|write|try)\s+(?:it|that|this)\s+again\b",
+        r"\brepeat(?:\s+(?:that|this|it|the\s+\w+))?\b", r"\bsame as before\b", r"\bdo it again\b",
+        r"\blike last time\b",
     ],
 }
 
+# Words that a text must hold before a pattern is tried on it; a phrase that is not
+# listed here is plain text and is searched for as it is.
+NEEDED_WORDS = {
+    r"missing.*tool": "missing",
+    r"would be nice if.*could": "would be nice if",
+    r"\bshorter\b": "shorter",
+    r"that.*doesn't exist": "doesn't exist",
+    r"no such.*api": "no such",
+    r"\binvented\b": "invented",
+    r"\bhallucinated\b": "hallucinated",
+    r"\b(?:do|run|execute|perform|say|write|try)\s+(?:it|that|this)\s+again\b": "again",
+    r"\brepeat(?:\s+(?:that|this|it|the\s+\w+))?\b": "repeat",
+    r"\bsame as before\b": "same as before",
+    r"\bdo it again\b": "do it again",
+    r"\blike last time\b": "like last time",
+}
+
 # Per category description, severity, suggested capability, intervention kind.
 DESCRIPTIONS = {
     "MissingTool": "User indicated missing tool or capability",
@@ -81,18 +95,14 @@ def is_opener(text: Column) -> Column:
     return text.rlike(r"(?U)\A\s*(?:" + "|".join(OPENERS) + r")\s*\z")
 
 
-def pattern_of(phrase: str) -> str:
-    return phrase.partition(":")[2] or phrase
-
-
 def _mentions(text: Column, phrase: str) -> Column:
     """Substring search first: it is far cheaper than a pattern and usually says no.
 
     (?U) makes the word classes Unicode-aware and (?d) lets "." stop only at \\n.
     """
-    words, _, pattern = phrase.partition(":")
-    found = F.contains(text, F.lit(words))
-    return found & text.rlike("(?Ud)" + pattern) if pattern else found
+    words = NEEDED_WORDS.get(phrase)
+    found = F.contains(text, F.lit(words or phrase))
+    return found & text.rlike("(?Ud)" + phrase) if words else found
 
 
 def steering_category(text: Column) -> Column:

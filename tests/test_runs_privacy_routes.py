@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sessionloom.operators import excerpts, privacy, routes, trends
+from sessionloom.operators import excerpts, pilot, privacy, routes, trends
 from sessionloom.streaming import live
 
 START = dt.datetime(2024, 1, 1)
@@ -157,3 +157,21 @@ def test_streaming(spark, tmp_path):
     assert sorted(r.category for r in got) == ["ManualRepetition", "MissingContext"]
     sessions = run_stream(spark, tmp_path / "in", lambda s: live.session_stream(s, "user_id"), "complete")
     assert sorted(r.entries for r in sessions) == [1, 1, 2]
+
+
+def test_pilot_median_is_exact(spark):
+    import statistics
+    from datetime import datetime
+
+    rng = random.Random(3)
+    rows = []
+    for cohort, n in (("a", 7), ("b", 40), ("c", 5), ("d", 4)):
+        for _ in range(n):
+            minutes = rng.choice([None, 0.04, 0.05, 1e9, rng.random() * 10])
+            rows.append((cohort, datetime(2024, 1, rng.randrange(1, 28)), 1, True, 0, 0, minutes, True, 1, 1, 0))
+    schema = ("cohort string, started_at timestamp, steering long, repeated boolean, context_loss long, missing_tool long, "
+              "resolution_minutes double, adopted boolean, accepted long, files long, privacy_exceptions long")
+    out = pilot.weekly(spark.createDataFrame(rows, schema), min_cohort=1).collect()
+    for row in out:
+        own = [r[6] for r in rows if r[0] == row.cohort and r[6] is not None and 0 <= (r[1] - row.week).days < 7]
+        assert row.median_resolution_minutes == (statistics.median(own) if own else None)

@@ -212,3 +212,36 @@ def test_backlog_and_report_sinks(spark, tmp_path):
     projects = spark.createDataFrame([("/p1",), ("/p2",), ("/p1",)], "path string")
     runstore.write_project_backlogs(backlog, projects, str(tmp_path / "all"))
     assert sorted((r.path, r.id) for r in spark.read.json(str(tmp_path / "all")).collect()) == [("/p1", "dream-001"), ("/p2", "dream-001")]
+
+
+def test_line_separators_stay_in_the_text(spark):
+    lines = [("2026-08-07T10:00:00Z step 1\rstep 2",), ("2026-08-07T10:00:00Z a\u2028b\u0085c",)]
+    df = spark.createDataFrame(lines, "line string").select(*records.line_columns(F.col("line"), F.lit(None).cast("timestamp")))
+    assert sorted(r.content for r in df.collect()) == ["a\u2028b\u0085c", "step 1\rstep 2"]
+    assert all(r.ts is not None for r in df.collect())
+
+
+LISTS = ("model_failures", "harness_friction", "missing_tooling", "workflow_bottlenecks", "repeated_commands", "repeated_prompts",
+         "context_loss", "automation_opportunities")
+
+
+def response(**lists):
+    return "{" + ",".join(f'"{n}":{lists.get(n, "[]")}' for n in LISTS)
+
+
+def test_trailing_commas_are_forgiven_outside_strings(spark):
+    rows = [(1, response(missing_tooling='["a,]","b,}" , ]', repeated_prompts='["it\'s \\"x,}\\"",]') + " , }"), (2, response() + "}}")]
+    rows += [(3, response(missing_tooling='["a",,]') + "}"), (4, response(model_failures="[{\"model\":\"m\",\"issue\":\"i\",\"frequency\":'say \"3\" times',\"example\":\"\"}]") + "}")]
+    tables, rejected = responses.parse(spark.createDataFrame(rows, "batch_no long, text string"))
+    assert [r.purpose for r in tables["missing_tooling"].orderBy("ord").collect()] == ["a,]", "b,}"]
+    assert [r.prompt_pattern for r in tables["repeated_prompts"].collect()] == ['it\'s "x,}"']
+    assert [(r.batch_no, r.frequency) for r in tables["model_failures"].collect()] == [(4, 3)]
+    assert 3 in {r.batch_no for r in rejected.collect()}
+
+
+def test_finding_numbers_never_collide(spark):
+    rows = [(2**44, response(missing_tooling='["a","b"]') + "}"), (0, response(missing_tooling='["c","d","e"]') + "}"), (-5, response(missing_tooling='["f"]') + "}")]
+    tables, _ = responses.parse(spark.createDataFrame(rows, "batch_no long, text string"))
+    found = tables["missing_tooling"].orderBy("ord").collect()
+    assert [r.purpose for r in found] == ["f", "c", "d", "e", "a", "b"]
+    assert len({r.ord for r in found}) == 6
