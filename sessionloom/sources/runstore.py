@@ -25,11 +25,9 @@ def read_run_documents(
     """(readable run documents, unreadable file paths) from a folder of JSON documents."""
     kept = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     docs = (
-        spark.read.schema(kept)
+        _forgiving(spark).schema(kept)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json")
         .json(path, multiLine=True)
         .withColumn("source_path", F.col("_metadata.file_path"))
     )
@@ -39,15 +37,29 @@ def read_run_documents(
 
 
 def classify_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(source_path, readable, is_run) for every JSON file under the distinct folders."""
+    """(source_path, readable, is_run) for every JSON file under the distinct folders.
+
+    A file is readable when Spark gets to its end without an error; the listing
+    itself looks at names and sizes only.
+    """
     folders = sorted(set(paths))
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.json").load(folders).select(F.col("path").alias("source_path"))
-    )
+    named = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    listed = named.format("binaryFile").load(folders).select(F.col("path").alias("source_path"), "length")
+    lines = _forgiving(spark).text(folders).select(F.col("_metadata.file_path").alias("source_path"))
+    read = lines.groupBy("source_path").agg(F.count("*").alias("_lines"))
     runs, _ = read_run_documents(spark, folders)
-    return listed.join(runs.select("source_path", F.lit(True).alias("_run")), "source_path", "left").select(
-        "source_path", F.lit(True).alias("readable"), F.coalesce("_run", F.lit(False)).alias("is_run")
+    joined = listed.join(read, "source_path", "left").join(
+        runs.select("source_path", F.lit(True).alias("_run")), "source_path", "left"
+    )
+    readable = F.col("_lines").isNotNull() | (F.col("length") == 0)
+    return joined.select("source_path", readable.alias("readable"), F.coalesce("_run", F.lit(False)).alias("is_run"))
+
+
+def _forgiving(spark: SparkSession):
+    """A reader of JSON files that leaves out files it cannot read."""
+    return (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+        .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
     )
 
 
@@ -64,11 +76,17 @@ def write_backlog(backlog: DataFrame, folder: str, run_id: str) -> None:
 
 
 def write_project_backlogs(backlog: DataFrame, projects: DataFrame, folder: str) -> None:
-    """The whole backlog once per distinct project path.
+    """The backlog and the distinct project paths, each written once.
 
-    Every project receives the same rows, so each project is written in turn
-    from the one backlog table instead of multiplying the two tables. The
-    project list is a user's own registry; it is read in pages, not collected.
+    Every project has the same backlog, so the two tables are stored side by side and
+    ``read_project_backlog`` puts a project's rows together.
     """
-    for row in projects.select("path").distinct().toLocalIterator():
-        backlog.withColumn("path", F.lit(row.path)).write.mode("append").json(folder)
+    projects.select("path").distinct().write.mode("overwrite").json(f"{folder}/projects")
+    backlog.write.mode("overwrite").json(f"{folder}/backlog")
+
+
+def read_project_backlog(spark: SparkSession, folder: str, path: str) -> DataFrame:
+    """The backlog of one project; no rows for a path that is not registered."""
+    known = spark.read.schema("path string").json(f"{folder}/projects").where(F.col("path") == path)
+    rows = spark.read.json(f"{folder}/backlog").withColumn("path", F.lit(path))
+    return rows.join(known, "path", "left_semi")

@@ -201,6 +201,11 @@ def test_run_documents(spark, tmp_path):
     assert runs.latest(runs.summary_rows(documents)).collect()[0].run_id == "new"
     status = {r.status: r.files for r in runs.sync_summary(runstore.classify_files(spark, [str(tmp_path)] * 2)).collect()}
     assert status == {"uploaded": 2, "skipped": 2}
+    # A file that fails while it is read: its stored checksum does not fit.
+    doc("a/failing.json", id="x", generated_at="2026-01-01T00:00:00Z", date="2026-01-01", executive_summary="s", candidate_tools=[])
+    write(tmp_path, "a/.failing.json.crc", b"crc\x00\x00\x00\x02\x00\x12\x34\x56\x78")
+    status = {r.status: r.files for r in runs.sync_summary(runstore.classify_files(spark, [str(tmp_path)])).collect()}
+    assert status == {"uploaded": 2, "skipped": 2, "failed": 1}
 
 
 def test_backlog_and_report_sinks(spark, tmp_path):
@@ -211,7 +216,9 @@ def test_backlog_and_report_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "b/history")).count() == 2
     projects = spark.createDataFrame([("/p1",), ("/p2",), ("/p1",)], "path string")
     runstore.write_project_backlogs(backlog, projects, str(tmp_path / "all"))
-    assert sorted((r.path, r.id) for r in spark.read.json(str(tmp_path / "all")).collect()) == [("/p1", "dream-001"), ("/p2", "dream-001")]
+    for path, rows in (("/p1", 1), ("/p2", 1), ("/p3", 0)):
+        own = runstore.read_project_backlog(spark, str(tmp_path / "all"), path).collect()
+        assert [(r.path, r.id) for r in own] == [(path, "dream-001")] * rows
 
 
 def test_line_separators_stay_in_the_text(spark):
