@@ -94,13 +94,15 @@ def unplaned(raw: bytes) -> np.ndarray:
 
 
 def small(numbers: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs."""
-    most = int(numbers.max(initial=0))
-    return numbers.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8").tobytes()
+    """Counts in a byte each; those above 254 follow in full."""
+    few = np.minimum(numbers, 255).astype(np.uint8)
+    return few.tobytes() + numbers[few == 255].astype("<u8").tobytes()
 
 
 def counts(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+    out = np.frombuffer(raw, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, "<u8", offset=n)
+    return out
 
 
 def short(hashes: np.ndarray, size: int) -> bytes:
@@ -228,10 +230,10 @@ def _counted(stored: DataFrame, buckets: int) -> DataFrame:
     return written(asked.groupBy("bucket").applyInArrow(answer, REPLIES_SQL), "counts")
 
 
-def _answered(stored: DataFrame, replies: DataFrame) -> DataFrame:
+def _answered(stored: DataFrame, replies: DataFrame, answers: tuple[str, ...]) -> DataFrame:
     """Every batch with its answers; a batch has one answer per bucket, of bounded size together."""
     packed = replies.groupBy("batch").agg(
-        F.collect_list(F.struct("bucket", "entries", *ANSWERS)).alias("replies")
+        F.collect_list(F.struct("bucket", "entries", *answers)).alias("replies")
     )
     return stored.join(packed, "batch")
 
@@ -241,6 +243,7 @@ def _opened(row: dict) -> tuple[Batch, dict[str, np.ndarray]]:
     found = {
         name: np.concatenate([counts(r[name], r["entries"][name.startswith("pair")]) for r in replies])
         for name in ANSWERS
+        if name in replies[0]
     }
     return Batch(row), found
 
@@ -346,6 +349,6 @@ def score(docs: DataFrame, kind: Column) -> DataFrame:
     totals = stored.agg(F.sum("retained").alias("retained"), F.sum("deleted").alias("deleted")).first()
     retained, deleted = totals["retained"] or 0, totals["deleted"] or 0
     distinct = replies.agg(F.sum("distinct").alias("n")).first()["n"] or 0
-    answered = _answered(stored, replies)
-    mixture = weights(_cells(answered, retained, distinct).toArrow())
+    mixture = weights(_cells(_answered(stored, replies, ANSWERS), retained, distinct).toArrow())
+    answered = _answered(stored, replies, ("word_all", "pair_all"))
     return _scores(answered, mixture, retained + deleted, distinct)
