@@ -26,7 +26,7 @@ def _lowered_pieces(text: Column) -> Column:
 def tokens(text: Column) -> Column:
     """Meaningful words in text order, repeats kept."""
     return F.filter(
-        _lowered_pieces(text), lambda word: (word != "") & ~word.isin(STOPWORDS)
+        _lowered_pieces(text), lambda word: (word != "") & ~word.isin(list(STOPWORDS))
     )
 
 
