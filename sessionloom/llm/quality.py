@@ -8,7 +8,7 @@ length, plus its own. A document is pooled as mean and spread of its tokens'
 vectors. Two layers in numpy give a logit, which a temperature fitted on a part of
 the sample that the network did not see turns into a probability.
 
-Only the fit is bounded: ``SAMPLE_ROWS`` labelled rows, those with the smallest id
+Only the fit is bounded: ``SAMPLE_ROWS`` labelled documents, those with the smallest id
 hashes, whose texts have at most ``SAMPLE_CHARS`` characters. Scoring reads every
 document whole. Labels, language, source and id are no inputs of a score.
 
@@ -174,9 +174,12 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[
     """(text, label) of the labelled rows to fit on, at most ``rows``."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
-    texts = docs.select("doc_id", F.col("text").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    chosen = texts.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
-    return [(r["text"], r["label"]) for r in chosen.select("text", "label").collect()]
+    texts = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS)
+    # The ids are chosen on narrow rows; at most ``rows`` of them are broadcast to the texts.
+    known = known.join(texts.select("doc_id").distinct(), "doc_id")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return [(r["text"], r["label"]) for r in found.orderBy("doc_id").select("text", "label").collect()]
 
 
 def fit(examples: list[tuple[str, int]]) -> Model:
