@@ -1,22 +1,28 @@
 """N-gram Jaccard join by parity sketches.
 
 Documents link when their shingle sets A and B have ``den * |A n B| >= num * |A u B|``.
-A set flips one bit of a sketch for each shingle, so the Hamming distance of two
-sketches is at most the size of the symmetric difference. Linked sets differ in at
-most d shingles, where d follows from the largest size of their band; a sketch of
-the band has more than d 64-bit words, so linked sets agree in some word
-(pigeonhole), and in more than one: with m words at least m - d.
-
-Words with at most one bit set say little and would bring many unrelated documents
-together. A set keeps them to itself while fewer than m - d of its words are so
-weak, since then a word that is not weak agrees too; the few sets with more weak
-words publish all of theirs, which meets the case of two such sets.
+A set flips one bit of a long parity sketch for each shingle, so the Hamming distance
+of two sketches is at most the size of the symmetric difference. The sketch is cut
+into stretches of many bits; few bits are set, so a stretch is kept as the XOR of its
+bits' hashes, which an even number of flips of one bit leaves as it was. Linked sets
+differ in at most d shingles, where d follows from the largest size of their band; a
+sketch of the band has m > d stretches, so linked sets agree in at least m - d of
+them (pigeonhole).
+
+Stretches that are empty, or hold common shingles only, say little and would bring
+unrelated documents together. A set keeps these weak stretches to itself while it has
+fewer than m - d of them, since then a stretch that is not weak agrees too (equal
+stretches are equally weak); the few sets with more publish them as well, which meets
+the case of two such sets. Which shingles count as common is learned from a bounded
+sample of the documents; the result does not depend on it, only the work does.
 
 Equal sets are one class from the start. Classes that share a word meet in hashed
 buckets; a small group gives its pairs, a large one only pairs with its first
-member. Candidate pairs are verified on the whole sets. Large groups whose members
-are then in several components give the pairs between those components, which are
-verified too, so no link is lost and a group of copies never gives all its pairs.
+member. A short parity sketch of both sets, whose Hamming distance is a lower bound of
+their difference, drops most pairs that cannot link; the rest are verified on the
+whole sets. Large groups whose members are then in several components give the pairs
+between those components that pass the same bound, so no link is lost and a group of
+copies never gives all its pairs.
 
 Cases: null and empty texts, and texts without words, have empty sets and link with
 nothing; rows of one doc_id with several texts are judged text by text; a null doc_id gets
@@ -39,18 +45,20 @@ from sessionloom.llm.shingles import mix, sets
 from sessionloom.llm.workers import slices, table, utf8
 
 WIDTH, NUM, DEN = 4, 85, 100
-BAND = 1.6
-WEAK_BITS = 1
+BAND, SLACK = 1.25, 0.1
+COMMON_DOCUMENTS, COMMON_TIMES, COMMON_KEPT = 2_000, 5, 100_000
 SMALL_GROUP = 8
 BUCKET_BYTES = 8 << 20
 KEY_BYTES = 5
-PAIRS_AT_ONCE = 1 << 16
+PARITY_BITS = 1 << 16
 BROADCAST_ROWS = 4_000_000
 
-FEATURES_SQL = "doc_id bigint, n_shingles bigint, node bigint, bucket int, keys binary, nodes binary"
+FEATURES_SQL = (
+    "doc_id bigint, n_shingles bigint, node bigint, parity binary, bucket int, keys binary, nodes binary"
+)
 FEATURES = pa.schema(
-    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bucket", pa.int32()),
-     ("keys", pa.binary()), ("nodes", pa.binary())]
+    [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("parity", pa.binary()),
+     ("bucket", pa.int32()), ("keys", pa.binary()), ("nodes", pa.binary())]
 )
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("large", pa.int64())])
 PAIRS_SQL = "a bigint, b bigint, large bigint"
@@ -66,55 +74,105 @@ def bands(size: int, num: int, den: int) -> list[tuple[int, int]]:
     """(band, its largest size) for the bands in which a set of ``size`` meets partners.
 
     Band k holds sizes from ``BAND**k`` to below ``BAND**(k + 1)``; a set also joins
-    the next band when a partner that large may still link with it.
+    the later bands that hold sizes with which it may still link.
     """
-    own = int(math.log(size, BAND))
-    while BAND**own > size:
-        own -= 1
-    while BAND ** (own + 1) <= size:
-        own += 1
     top = lambda k: math.ceil(BAND ** (k + 1)) - 1
-    reach = size * den // num
-    return [(k, top(k)) for k in (own, own + 1) if k == own or reach > top(own)]
+    own = max(0, int(math.log(size, BAND)) - 1)
+    while top(own) < size:
+        own += 1
+    out = [(own, top(own))]
+    while out[-1][1] < size * den // num:
+        out.append((out[-1][0] + 1, top(out[-1][0] + 1)))
+    return out
+
+
+def common_shingles(docs: DataFrame, rows: int, width: int) -> np.ndarray:
+    """Shingles that several documents of a sample share, at most ``COMMON_KEPT``, sorted."""
+    schema = pa.schema([("shingle", pa.int64())])
 
+    def scan(batches):
+        for batch in slices(batches):
+            for own in sets(*utf8(batch.column("text")), width):
+                yield table({"shingle": own.view(np.int64)}, schema)
+
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows // COMMON_DOCUMENTS))) == 0)
+    counted = chosen.select("text").mapInArrow(scan, "shingle bigint").groupBy("shingle").count()
+    several = counted.where(F.col("count") >= COMMON_TIMES).orderBy(F.col("count").desc(), "shingle").limit(COMMON_KEPT)
+    return np.sort(np.array([r["shingle"] for r in several.collect()], np.int64).view(np.uint64))
 
-def sketch(shingles: np.ndarray, band: int, top: int, num: int, den: int) -> np.ndarray:
+
+def sketch(
+    shingles: np.ndarray, band: int, top: int, num: int, den: int, common: np.ndarray = np.zeros(0, np.uint64)
+) -> np.ndarray:
     """Join keys of the set's sketch in a band; empty if only equal sets can link there."""
     distance = (den - num) * 2 * top // (den + num)
     if distance == 0:
         return np.zeros(0, np.uint64)
-    count = distance + 1 + max(2, math.ceil(0.06 * (distance + 1)))
-    place = (shingles >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
+    count = distance + 1 + max(2, math.ceil(SLACK * (distance + 1)))
+    place = ((shingles >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
     parity = np.zeros(count, np.uint64)
-    np.bitwise_xor.at(parity, place.astype(np.int64), np.uint64(1) << (shingles & np.uint64(63)))
-    weak = np.bitwise_count(parity) <= WEAK_BITS
+    np.bitwise_xor.at(parity, place, mix(shingles, 10))
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        place = place[common[at] != shingles]
+    weak = np.bincount(place, minlength=count) == 0
     kept = np.ones(count, bool) if weak.sum() >= count - distance else ~weak
-    chunk = np.arange(count, dtype=np.uint64)[kept] + np.uint64(band << 40)
-    return mix(parity[kept] ^ mix(chunk, 5), 6)
+    stretch = np.arange(count, dtype=np.uint64)[kept] + np.uint64(band << 40)
+    return mix(parity[kept] ^ mix(stretch, 5), 6)
+
 
+def parity(shingles: np.ndarray) -> bytes:
+    """A short sketch: each shingle flips one of at least four bits a shingle."""
+    bits = 64
+    while bits < min(4 * len(shingles), PARITY_BITS):
+        bits *= 2
+    place = (mix(shingles, 11) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=bits) & 1, bitorder="little").tobytes()
 
-def _features(docs: DataFrame, buckets: int, width: int, num: int, den: int) -> DataFrame:
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of the shortest one's length; halves of a longer one add up to it."""
+    words = min(map(len, sketches)) // 8
+    out = np.zeros((len(sketches), words), np.uint64)
+    for row, raw in enumerate(sketches):
+        out[row] = np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, words), axis=0)
+    return out
+
+
+def may_link(left: np.ndarray, right: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether the Hamming distance leaves room for a link of sets with ``sizes`` shingles together."""
+    distance = np.bitwise_count(left ^ right).sum(axis=-1, dtype=np.int64)
+    return distance * (den + num) <= (den - num) * sizes
+
+
+def _features(
+    docs: DataFrame, buckets: int, width: int, num: int, den: int, common: np.ndarray = np.zeros(0, np.uint64)
+) -> DataFrame:
     """Rows of two kinds: one per document (bucket null), and packed keys per bucket."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON_KEPT numbers
 
     def scan(batches):
+        common = shared.value
         for batch in slices(batches):
             data, offsets = utf8(batch.column("text"))
-            names, sizes, nodes, keys, owners = batch.column("doc_id"), [], [], [], []
+            names, sizes, nodes, keys, owners, short = batch.column("doc_id"), [], [], [], [], []
             seen: set[int] = set()
             for own in sets(data, offsets, width):
                 node = class_of(own)
                 sizes.append(len(own))
                 nodes.append(node)
+                short.append(None)
                 if len(own) and node not in seen:
                     seen.add(node)
+                    short[-1] = parity(own)
                     for band, top in bands(len(own), num, den):
-                        here = sketch(own, band, top, num, den)
+                        here = sketch(own, band, top, num, den, common)
                         keys.append(here)
                         owners.append(np.full(len(here), node, np.int64))
             n = len(sizes)
             yield table(
-                {"doc_id": names, "n_shingles": sizes, "node": nodes, "bucket": [None] * n, "keys": [None] * n,
-                 "nodes": [None] * n}, FEATURES,
+                {"doc_id": names, "n_shingles": sizes, "node": nodes, "parity": short, "bucket": [None] * n,
+                 "keys": [None] * n, "nodes": [None] * n}, FEATURES,
             )
             if keys and sum(map(len, keys)):
                 key, owner = np.concatenate(keys), np.concatenate(owners)
@@ -123,11 +181,11 @@ def _features(docs: DataFrame, buckets: int, width: int, num: int, den: int) ->
                 key, owner, bucket = key[order], owner[order], bucket[order]
                 cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
                 ends = np.append(cuts[1:], len(key))
-                short = key.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+                cut = key.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
                 n = len(cuts)
                 yield table(
-                    {"doc_id": [None] * n, "n_shingles": [None] * n, "node": [None] * n, "bucket": bucket[cuts],
-                     "keys": [short[a:b].tobytes() for a, b in zip(cuts, ends)],
+                    {"doc_id": [None] * n, "n_shingles": [None] * n, "node": [None] * n, "parity": [None] * n,
+                     "bucket": bucket[cuts], "keys": [cut[a:b].tobytes() for a, b in zip(cuts, ends)],
                      "nodes": [owner[a:b].tobytes() for a, b in zip(cuts, ends)]}, FEATURES,
                 )
 
@@ -186,17 +244,41 @@ def _few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
+def _short(shingles: np.ndarray) -> bytes:
+    """The low ``KEY_BYTES`` of each hash: enough to tell the shingles of two sets apart."""
+    return np.ascontiguousarray(shingles.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+
+
+def _long(raw: pa.Buffer) -> np.ndarray:
+    few = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BYTES)
+    out = np.zeros((len(few), 8), np.uint8)
+    out[:, :KEY_BYTES] = few
+    return np.sort(out.view(np.uint64)[:, 0])
+
+
 def _verified(
-    pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int
+    pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int, repeated_ids: bool
 ) -> DataFrame:
     """Linked pairs (a, b) of classes among distinct candidate ``pairs(a, b)``."""
     sized = pairs
     for side in ("a", "b"):
         sized = sized.join(
-            classes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n{side}")), side
+            classes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("parity").alias(f"p{side}")), side
         )
     fits = (F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.col("a") != F.col("b"))
-    sized = written(sized.where(fits).select("a", "b"), "candidates")
+    ends = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def bounded(batches):
+        for batch in slices(batches, "pa"):
+            rows = batch.to_pylist()
+            kept = [
+                bool(may_link(*folded([r["pa"], r["pb"]]), np.int64(r["na"] + r["nb"]), num, den)) for r in rows
+            ]
+            found = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], schema=ends)
+            yield found.filter(pa.array(kept, pa.bool_()))
+
+    sized = sized.where(fits).select("a", "b", "na", "nb", "pa", "pb").mapInArrow(bounded, "a bigint, b bigint")
+    sized = written(sized, "candidates")
     asked = sized.select(F.col("a").alias("node")).union(sized.select("b")).distinct()
     asked = written(classes.join(asked, "node", "left_semi").select("node", "doc_id"), "asked")
 
@@ -205,11 +287,12 @@ def _verified(
     def collect(batches):
         for batch in slices(batches):
             own = list(sets(*utf8(batch.column("text")), width))
-            yield table({"node": [class_of(s) for s in own], "shingles": [s.tobytes() for s in own]}, schema)
+            yield table({"node": [class_of(s) for s in own], "shingles": [_short(s) for s in own]}, schema)
 
     texts = docs.select("doc_id", "text").join(_few(asked.select("doc_id").distinct()), "doc_id", "left_semi")
     found = texts.mapInArrow(collect, "node bigint, shingles binary")
-    found = found.groupBy("node").agg(F.first("shingles").alias("shingles"))
+    if repeated_ids:
+        found = found.groupBy("node").agg(F.first("shingles").alias("shingles"))
     found = written(found, "sets")
     joined = sized.join(found.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     joined = joined.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -219,8 +302,7 @@ def _verified(
         for batch in batches:
             kept = []
             for left, right in zip(batch.column("sa"), batch.column("sb")):
-                left = np.frombuffer(left.as_buffer(), np.uint64)
-                right = np.frombuffer(right.as_buffer(), np.uint64)
+                left, right = _long(left.as_buffer()), _long(right.as_buffer())
                 place = np.searchsorted(left, right)
                 shared = int((left[np.minimum(place, len(left) - 1)] == right).sum())
                 kept.append(den * shared >= num * (len(left) + len(right) - shared))
@@ -229,8 +311,8 @@ def _verified(
     return written(joined.select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint"), "links")
 
 
-def _left_over(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs between different components inside large groups."""
+def _left_over(pairs: DataFrame, parts: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs between different components inside large groups that may link."""
     large = pairs.where("large is not null")
     members = large.select("large", F.col("b").alias("node")).unionByName(
         large.select("large", F.col("a").alias("node"))
@@ -241,20 +323,25 @@ def _left_over(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     ).where("least <> most").select("large")
 
     def cross(key, group):
-        node = group.column("node").to_numpy()
         part = group.column("component").to_numpy()
         order = np.argsort(part, kind="stable")
-        node, part = node[order], part[order]
+        part = part[order]
+        node, size = group.column("node").to_numpy()[order], group.column("n_shingles").to_numpy()[order]
+        short = folded(group.column("parity").to_pylist())[order]
         ends = np.searchsorted(part, part, "right")
         out = []
         for at in range(len(node)):
-            others = node[ends[at] :]
+            rest = slice(int(ends[at]), None)
+            near = may_link(short[at], short[rest], size[at] + size[rest], num, den)
+            others = node[rest][near]
             if len(others):
                 a, b = np.minimum(node[at], others), np.maximum(node[at], others)
                 out.append(table({"a": a, "b": b, "large": pa.nulls(len(a), pa.int64())}, PAIRS))
         return pa.Table.from_batches(out, PAIRS)
 
-    mixed = named.join(split, "large", "left_semi").select("large", "node", "component")
+    mixed = named.join(split, "large", "left_semi")
+    mixed = mixed.join(classes.select("node", "n_shingles", "parity"), "node")
+    mixed = mixed.select("large", "node", "component", "n_shingles", "parity")
     found = mixed.groupBy("large").applyInArrow(cross, PAIRS_SQL)
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return found.select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
@@ -264,27 +351,31 @@ def near_duplicates(
     docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN
 ) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs(doc_id, text)``."""
-    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    features = _features(docs, max(1, size // BUCKET_BYTES), width, num, den)
-    rows = features.where("bucket is null").select("doc_id", "n_shingles", "node")
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows")).first()
+    common = common_shingles(docs, size["rows"], width)
+    features = _features(docs, max(1, (size["n"] or 0) // BUCKET_BYTES), width, num, den, common)
+    rows = features.where("bucket is null").select("doc_id", "n_shingles", "node", "parity")
     classes = rows.where("n_shingles > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
+        F.first("parity", ignorenulls=True).alias("parity"),
     )
     classes = written(classes, "classes")
     pairs = _pairs(features.where("bucket is not null").select("bucket", "keys", "nodes"))
     distinct = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = _verified(distinct, classes, docs, width, num, den)
+    seen = rows.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    verify = lambda p: _verified(p, classes, docs, width, num, den, seen["n"] > seen["ids"])
+    links = verify(distinct)
     parts = components(links)
-    more = written(_left_over(pairs, parts), "more")
+    more = written(_left_over(pairs, parts, classes, num, den), "more")
     if more.limit(1).count():
-        links = links.unionByName(_verified(more, classes, docs, width, num, den))
+        links = links.unionByName(verify(more))
         parts = components(links)
     # From classes to documents: a component is named by its smallest doc_id.
     own = classes.select("node", "doc_id").join(parts, "node", "left")
     own = own.withColumn("component", F.coalesce("component", "node"))
     names = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = own.join(names, "component").select("node", "component_id")
-    joined = rows.join(named, "node", "left")
+    joined = rows.drop("parity").join(named, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"))
 
