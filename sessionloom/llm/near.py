@@ -20,9 +20,9 @@ Equal sets are one class from the start. Classes that share a word meet in hashe
 buckets; a small group gives its pairs, a large one only pairs with its first
 member. A short parity sketch of both sets, whose Hamming distance is a lower bound of
 their difference, drops most pairs that cannot link; the rest are verified on the
-whole sets. Large groups whose members are then in several components give the pairs
-between those components that pass the same bound, so no link is lost and a group of
-copies never gives all its pairs.
+whole sets. Large groups whose members are then in several components give, twice, each member's nearest pair across
+components, and at last all pairs between components that pass the same bound; so no
+link is lost and a group of copies never gives all its pairs.
 
 Cases: null and empty texts, and texts without words, have empty sets and link with
 nothing; rows of one doc_id with several texts are judged text by text; a null doc_id gets
@@ -311,8 +311,14 @@ def _verified(
     return written(joined.select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint"), "links")
 
 
-def _left_over(pairs: DataFrame, parts: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs between different components inside large groups that may link."""
+def _left_over(
+    pairs: DataFrame, tried: DataFrame, parts: DataFrame, classes: DataFrame, num: int, den: int, nearest: bool
+) -> DataFrame:
+    """Pairs, not yet tried, between different components inside large groups that may link.
+
+    With ``nearest`` every member gives only the pair with the nearest sketch outside
+    its component, which is enough to join most of what belongs together.
+    """
     large = pairs.where("large is not null")
     members = large.select("large", F.col("b").alias("node")).unionByName(
         large.select("large", F.col("a").alias("node"))
@@ -331,9 +337,14 @@ def _left_over(pairs: DataFrame, parts: DataFrame, classes: DataFrame, num: int,
         ends = np.searchsorted(part, part, "right")
         out = []
         for at in range(len(node)):
-            rest = slice(int(ends[at]), None)
+            rest = slice(0 if nearest else int(ends[at]), None)
             near = may_link(short[at], short[rest], size[at] + size[rest], num, den)
-            others = node[rest][near]
+            if nearest:
+                near &= part != part[at]
+                distance = np.bitwise_count(short ^ short[at]).sum(axis=1, dtype=np.int64)
+                others = node[[np.argmin(np.where(near, distance, 1 << 40))]] if near.any() else node[:0]
+            else:
+                others = node[rest][near]
             if len(others):
                 a, b = np.minimum(node[at], others), np.maximum(node[at], others)
                 out.append(table({"a": a, "b": b, "large": pa.nulls(len(a), pa.int64())}, PAIRS))
@@ -343,7 +354,7 @@ def _left_over(pairs: DataFrame, parts: DataFrame, classes: DataFrame, num: int,
     mixed = mixed.join(classes.select("node", "n_shingles", "parity"), "node")
     mixed = mixed.select("large", "node", "component", "n_shingles", "parity")
     found = mixed.groupBy("large").applyInArrow(cross, PAIRS_SQL)
-    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return found.select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
 
 
@@ -366,10 +377,14 @@ def near_duplicates(
     verify = lambda p: _verified(p, classes, docs, width, num, den, seen["n"] > seen["ids"])
     links = verify(distinct)
     parts = components(links)
-    more = written(_left_over(pairs, parts, classes, num, den), "more")
-    if more.limit(1).count():
-        links = links.unionByName(verify(more))
-        parts = components(links)
+    # Nearest pairs first; the last round takes all pairs that are then left.
+    tried = pairs.select("a", "b")
+    for nearest in (True, True, False):
+        more = written(_left_over(pairs, tried, parts, classes, num, den, nearest), "more")
+        if more.limit(1).count():
+            links = links.unionByName(verify(more))
+            parts = components(links)
+            tried = tried.unionByName(more)
     # From classes to documents: a component is named by its smallest doc_id.
     own = classes.select("node", "doc_id").join(parts, "node", "left")
     own = own.withColumn("component", F.coalesce("component", "node"))
