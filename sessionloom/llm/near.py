@@ -10,19 +10,25 @@ sketch of the band has m > d stretches, so linked sets agree in at least m - d o
 them (pigeonhole).
 
 Stretches that are empty, or hold common shingles only, say little and would bring
-unrelated documents together. A set keeps these weak stretches to itself while it has
-fewer than m - d of them, since then a stretch that is not weak agrees too (equal
-stretches are equally weak); the few sets with more publish them as well, which meets
-the case of two such sets. Which shingles count as common is learned from a bounded
-sample of the documents; the result does not depend on it, only the work does.
+unrelated documents together. A set keeps these weak stretches to itself: while one of
+two linked sets has fewer than m - d of them, a stretch that is not weak agrees too
+(equal stretches are equally weak). Sets with more are cut a second time, into finer
+stretches, where the same holds; so documents of one template part as soon as they
+have somewhat more than d shingles of their own. The sets that are weak there too
+publish all their finer stretches, which meets the case of two such sets. Which
+shingles count as common is learned from a bounded sample of the documents; the result
+does not depend on it, only the work does.
 
 Equal sets are one class from the start. Classes that share a word meet in hashed
 buckets; a small group gives its pairs, a large one only pairs with its first
 member. A short parity sketch of both sets, whose Hamming distance is a lower bound of
 their difference, drops most pairs that cannot link; the rest are verified on the
-whole sets. Large groups whose members are then in several components give, twice, each member's nearest pair across
-components, and at last all pairs between components that pass the same bound; so no
-link is lost and a group of copies never gives all its pairs.
+whole sets. Large groups whose members are then in several components give, twice, each
+member's nearest pair across components, and at last all pairs between components that
+pass the same bound; so no link is lost and a group of copies never gives all its pairs.
+Members of a large group are dealt into blocks of about ``BLOCK_ROWS`` rows and each
+pair of blocks is compared in a call of its own; blocks of the group's largest
+component only meet the other blocks, and of groups with the same members one is taken.
 
 Cases: null and empty texts, and texts without words, have empty sets and link with
 nothing; rows of one doc_id with several texts are judged text by text; a null doc_id gets
@@ -47,7 +53,9 @@ from sessionloom.llm.workers import slices, table, utf8
 WIDTH, NUM, DEN = 4, 85, 100
 BAND, SLACK = 1.25, 0.1
 COMMON_DOCUMENTS, COMMON_TIMES, COMMON_KEPT = 2_000, 5, 100_000
+FINER = 4
 SMALL_GROUP = 8
+BLOCK_ROWS = 1_000
 BUCKET_BYTES = 8 << 20
 KEY_BYTES = 5
 PARITY_BITS = 1 << 16
@@ -109,16 +117,24 @@ def sketch(
     if distance == 0:
         return np.zeros(0, np.uint64)
     count = distance + 1 + max(2, math.ceil(SLACK * (distance + 1)))
-    place = ((shingles >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
-    parity = np.zeros(count, np.uint64)
-    np.bitwise_xor.at(parity, place, mix(shingles, 10))
+    value, rare = mix(shingles, 10), np.ones(len(shingles), bool)
     if len(common):
         at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        place = place[common[at] != shingles]
-    weak = np.bincount(place, minlength=count) == 0
-    kept = np.ones(count, bool) if weak.sum() >= count - distance else ~weak
-    stretch = np.arange(count, dtype=np.uint64)[kept] + np.uint64(band << 40)
-    return mix(parity[kept] ^ mix(stretch, 5), 6)
+        rare = common[at] != shingles
+    keys = []
+    for level in range(2):
+        place = ((shingles >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
+        parity = np.zeros(count, np.uint64)
+        np.bitwise_xor.at(parity, place, value)
+        weak = np.bincount(place[rare], minlength=count) == 0
+        mostly_weak = weak.sum() >= count - distance
+        kept = np.ones(count, bool) if mostly_weak and level else ~weak
+        stretch = np.arange(count, dtype=np.uint64)[kept] + np.uint64((band << 40) + (level << 32))
+        keys.append(mix(parity[kept] ^ mix(stretch, 5), 6))
+        if not mostly_weak:
+            break
+        count *= FINER
+    return np.concatenate(keys)
 
 
 def parity(shingles: np.ndarray) -> bytes:
@@ -311,6 +327,33 @@ def _verified(
     return written(joined.select("a", "b", "sa", "sb").mapInArrow(compare, "a bigint, b bigint"), "links")
 
 
+def _blocks(named: DataFrame) -> DataFrame:
+    """``named(large, node, component)`` of groups with several components, once for each
+    pair of blocks (``low``, ``high``) that the row's own block, ``cell``, is in.
+
+    Every two members of different components are in one pair of blocks at least.
+    """
+    here = F.xxhash64("node")
+    parts = named.groupBy("large", "component").agg(F.count("*").alias("n"), F.bit_xor(here).alias("mark"))
+    groups = parts.groupBy("large").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("in_main"),
+        F.sum("n").alias("n"), F.bit_xor("mark").alias("mark"), F.count("*").alias("parts"),
+    ).where("parts > 1")
+    groups = groups.groupBy("n", "mark").agg(F.min_by(F.struct("large", "main", "in_main"), "large").alias("one"))
+    cut = lambda rows: F.ceil(rows / F.lit(BLOCK_ROWS)).cast("int")
+    groups = groups.select(
+        "one.large", "one.main", cut(F.col("one.in_main")).alias("mains"), cut(F.col("n") - F.col("one.in_main")).alias("rest")
+    )
+    rows = named.join(_few(written(groups, "groups")), "large")
+    in_main = F.col("component") == F.col("main")
+    rows = rows.withColumn("cell", F.when(in_main, F.col("rest") + F.pmod(here, "mains")).otherwise(F.pmod(here, "rest")).cast("int"))
+    others = F.when(in_main, F.col("rest")).otherwise(F.col("rest") + F.col("mains"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    return rows.select(
+        "large", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"), "cell", "node", "component"
+    )
+
+
 def _left_over(
     pairs: DataFrame, tried: DataFrame, parts: DataFrame, classes: DataFrame, num: int, den: int, nearest: bool
 ) -> DataFrame:
@@ -324,38 +367,42 @@ def _left_over(
         large.select("large", F.col("a").alias("node"))
     ).distinct()
     named = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = named.groupBy("large").agg(
-        F.min("component").alias("least"), F.max("component").alias("most")
-    ).where("least <> most").select("large")
+    found = pa.schema([("large", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("distance", pa.int64())])
 
     def cross(key, group):
-        part = group.column("component").to_numpy()
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        node, size = group.column("node").to_numpy()[order], group.column("n_shingles").to_numpy()[order]
-        short = folded(group.column("parity").to_pylist())[order]
-        ends = np.searchsorted(part, part, "right")
-        out = []
-        for at in range(len(node)):
-            rest = slice(0 if nearest else int(ends[at]), None)
-            near = may_link(short[at], short[rest], size[at] + size[rest], num, den)
-            if nearest:
-                near &= part != part[at]
-                distance = np.bitwise_count(short ^ short[at]).sum(axis=1, dtype=np.int64)
-                others = node[[np.argmin(np.where(near, distance, 1 << 40))]] if near.any() else node[:0]
-            else:
-                others = node[rest][near]
-            if len(others):
-                a, b = np.minimum(node[at], others), np.maximum(node[at], others)
-                out.append(table({"a": a, "b": b, "large": pa.nulls(len(a), pa.int64())}, PAIRS))
-        return pa.Table.from_batches(out, PAIRS)
-
-    mixed = named.join(split, "large", "left_semi")
-    mixed = mixed.join(classes.select("node", "n_shingles", "parity"), "node")
-    mixed = mixed.select("large", "node", "component", "n_shingles", "parity")
-    found = mixed.groupBy("large").applyInArrow(cross, PAIRS_SQL)
+        cell, part = group.column("cell").to_numpy(), group.column("component").to_numpy()
+        node, size = group.column("node").to_numpy(), group.column("n_shingles").to_numpy()
+        short = folded(group.column("parity").to_pylist())
+        left, right = np.flatnonzero(cell == key[1].as_py()), np.flatnonzero(cell == key[2].as_py())
+        far = np.iinfo(np.int64).max
+        apart = np.full((len(left), len(right)), far)
+        for row, at in enumerate(left):
+            near = may_link(short[at], short[right], size[at] + size[right], num, den) & (part[right] != part[at])
+            other = right[near]
+            apart[row, near] = np.bitwise_count(short[other] ^ short[at]).sum(axis=1, dtype=np.int64)
+        if not apart.size:
+            return found.empty_table()
+        if nearest:  # of each row on the left, then of each on the right
+            rows, columns = np.arange(len(left)), np.arange(len(right))
+            a, b = np.r_[rows, apart.argmin(axis=0)], np.r_[apart.argmin(axis=1), columns]
+            own, other = np.r_[left, right], np.r_[right[b[: len(rows)]], left[a[len(rows) :]]]
+        else:
+            a, b = np.nonzero(apart < far)
+            own, other = left[a], right[b]
+        met = apart[a, b] < far
+        own, other = own[met], other[met]
+        return pa.table(
+            {"large": np.full(len(own), key[0].as_py()), "node": node[own], "other": node[other], "distance": apart[a, b][met]}, found
+        )
+
+    mixed = _blocks(named).join(classes.select("node", "n_shingles", "parity"), "node")
+    mixed = mixed.select("large", "low", "high", "cell", "node", "component", "n_shingles", "parity")
+    met = mixed.groupBy("large", "low", "high").applyInArrow(cross, "large bigint, node bigint, other bigint, distance bigint")
+    if nearest:
+        met = met.groupBy("large", "node").agg(F.min_by("other", F.struct("distance", "other")).alias("other"))
+    found_pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return found.select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
+    return found_pairs.join(known, ["a", "b"], "left_anti")
 
 
 def near_duplicates(

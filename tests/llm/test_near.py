@@ -79,6 +79,55 @@ def test_large_groups_lose_no_link(table, monkeypatch):
     assert out == brute(rows, 4, 85, 100)
 
 
+def test_large_groups_are_compared_in_bounded_blocks(spark, table, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK_ROWS", 20)
+    rows = [(1, i, i if i % 3 else 0) for i in range(300)] + [(2, i, i if i % 3 else 0) for i in range(300)]
+    rows += [(3, i, 7) for i in range(50)] + [(4, i, i % 2) for i in range(9)]
+    blocks = near._blocks(table(rows, "large bigint, node bigint, component bigint")).collect()
+    assert {r["large"] for r in blocks} == {1, 4}  # group 2 has the members of 1, group 3 one component
+    calls = {}
+    for r in blocks:
+        calls.setdefault((r["large"], r["low"], r["high"]), []).append(r)
+    assert max(map(len, calls.values())) < 4 * 20
+    met = {
+        (k[0], min(x["node"], y["node"]), max(x["node"], y["node"]))
+        for k, own in calls.items() for x in own for y in own if x["cell"] == k[1] and y["cell"] == k[2]
+    }
+    part = {(g, n): c for g, n, c in rows}
+    for g, n in ((1, 300), (4, 9)):
+        for a in range(n):
+            for b in range(a):
+                assert part[g, a] == part[g, b] or (g, b, a) in met
+
+
+@pytest.mark.parametrize("block", [3, 10])
+def test_blocks_lose_no_link(table, monkeypatch, block):
+    monkeypatch.setattr(near, "SMALL_GROUP", 2)
+    monkeypatch.setattr(near, "BLOCK_ROWS", block)
+    rows = variants(21, [30, 90], 20, 9)
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_duplicates(table(rows, "doc_id bigint, text string")).collect()}
+    assert out == brute(rows, 4, 85, 100)
+
+
+def test_common_text_brings_no_unrelated_sets_together():
+    """Sets of one template share no key; sets that link share one, whatever is common."""
+    rng = np.random.default_rng(8)
+    for share in (0.55, 0.6, 0.95):
+        template = np.unique(rng.integers(0, 2**64, int(1000 * share), dtype=np.uint64))
+        own = [rng.integers(0, 2**64, 1000 - len(template), dtype=np.uint64) for _ in range(4)]
+        full = [np.unique(np.r_[template, o]) for o in own]
+        full += [np.unique(np.r_[template[drop:], own[0]]) for drop in (20, 100)]
+        full += [np.unique(np.r_[template, own[0][20:], rng.integers(0, 2**64, 20, dtype=np.uint64)])]
+        keys = [{int(k) for band, top in near.bands(len(s), 85, 100) for k in near.sketch(s, band, top, 85, 100, template)} for s in full]
+        for i in range(len(full)):
+            for j in range(i):
+                shared = len(np.intersect1d(full[i], full[j]))
+                if 100 * shared >= 85 * (len(full[i]) + len(full[j]) - shared):
+                    assert keys[i] & keys[j]
+                elif share < 0.9:
+                    assert not keys[i] & keys[j]
+
+
 def test_many_copies_give_few_pairs(spark, table):
     text = " ".join(f"w{i}" for i in range(200))
     rows = [(i, text + (f" x{i}" if i % 2 else "")) for i in range(600)]
