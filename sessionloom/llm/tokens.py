@@ -3,6 +3,8 @@
 The tokenizers split at white space before anything else, so the ids of a text are
 those of its words in a row. Each distinct word goes to the library once; texts
 whose white space is unusual, and tokenizers of another make, are encoded whole.
+Texts in which an added token such as ``<|endoftext|>`` may be written out are encoded
+whole too: the operators take it as that token, as the library's plain ``encode`` does.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from sessionloom.llm.workers import per_worker
 PIECES_KEPT, WORDS_KEPT = 300_000, 600_000
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 PLAIN_BELOW = "ɐ"
+#: Runs of these pass every normalizer unchanged, and no other text turns into them.
+FIXED = re.compile(r"[!#-/:<=>?@\[\]^_{|}~]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -43,11 +47,13 @@ class _Words(dict):
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """``added``: whether added tokens written out in a text are those tokens, or plain text."""
+
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.letters = _byte_letters()
         shape = json.loads(self.tokenizer.to_str())
@@ -58,6 +64,14 @@ class Encoder:
         dropped = names == [("Split", "Removed", True, None), ("ByteLevel", None, None, False)]
         dropped = dropped and norms == ["NFC", "Replace", "Lowercase"]
         self.encode = self._spaced if spaced else self._dropped if dropped else self._whole
+        self.marks: set[str] = set()  # each added token holds one of them
+        if added:
+            for token in self.tokenizer.get_added_tokens_decoder().values():
+                runs = FIXED.findall(token.content)
+                if runs:
+                    self.marks.add(max(runs, key=len))
+                else:
+                    self.encode = self._whole
         self.model = self.tokenizer.model
         self.lowered = dropped
         # Pieces as they stand between blanks are many; what most of them share, the
@@ -111,9 +125,11 @@ class Encoder:
 
     def ids(self, text: str | None, end: int | None = None) -> np.ndarray:
         """Ids of the whole text (null: none), then the end id."""
-        ids = np.frombuffer(self.encode(text or ""), self.dtype)
+        text = text or ""
+        encode = self._whole if any(m in text for m in self.marks) else self.encode
+        ids = np.frombuffer(encode(text), self.dtype)
         return ids if end is None else np.append(ids, self.dtype.type(end))
 
 
 def encoder(path: str) -> Encoder:
-    return per_worker(("encoder", path), lambda: Encoder(path))
+    return per_worker(("encoder", path), lambda: Encoder(path, added=True))

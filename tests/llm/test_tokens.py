@@ -109,3 +109,31 @@ def test_codes_of_documents_in_order(odd_docs, odd_rows):
         assert row["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
     assert len(rows) == len(odd_rows)
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_operators_take_added_tokens_as_the_unchanged_library(table, file):
+    plain = Tokenizer.from_file(public_tokenizers.path(file))
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y", "<|startoftext|>Z <|endoftext|>", "<|ENDOFTEXT|> a", "a <| b |> c", "plain words", "<|endoftext|>"]
+    expected = {i: [*plain.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    docs = table(list(enumerate(texts)), "doc_id bigint, text string")
+    pieces = packing.pack(docs, public_tokenizers.path(file)).collect()
+    assert {p["doc_id"]: np.frombuffer(p["ids"], "<u4").tolist() for p in pieces} == expected
+    start = 0
+    for row in sorted(directcodes.read_back(directcodes.write(docs, public_tokenizers.path(file))).collect(), key=lambda r: r["doc_id"]):
+        ids = expected[row["doc_id"]]
+        assert (row["start"], row["n_tokens"]) == (start, len(ids))
+        assert row["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
+
+
+PLAIN = {f: Tokenizer.from_file(public_tokenizers.path(f)) for f in FILES}
+ADDED = {f: Encoder(public_tokenizers.path(f), added=True) for f in FILES}
+
+
+@pytest.mark.parametrize("file", FILES)
+@settings(max_examples=200, deadline=None)
+@given(parts=st.lists(st.tuples(words, spaces), max_size=12))
+def test_added_tokens_among_any_words(file, parts):
+    text = "".join(w + s for w, s in parts)
+    assert ADDED[file].ids(text).tolist() == PLAIN[file].encode(text, add_special_tokens=False).ids
