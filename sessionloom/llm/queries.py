@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import decontam, directcodes, interpolation, near, packing, pii, quality, repeats, topk, urls
+from sessionloom.llm import bytebpe, decontam, directcodes, interpolation, near, packing, pii, quality, repeats, topk, urls
 
 RULES = (
     urls.Rule("allow", "com", "/"),
@@ -86,11 +86,22 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("vec_id % 100 = 0"), vectors)
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    described = bytebpe.shared(spark, ranks, public_tokenizers.PATTERN)
+    decoded = bytebpe.decode(bytebpe.encode(_table(spark, sf_dir, "documents"), described), described)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_repeats, op3_quality, op4_decontamination, op5_near_duplicates, op6_url_filter, op7_packing,
-        op8_interpolation, op9_token_codes, op10_top_k,
+        op8_interpolation, op9_token_codes, op10_top_k, op13_byte_bpe,
     )
 }
 
