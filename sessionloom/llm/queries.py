@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import bytebpe, decontam, directcodes, interpolation, near, packing, pii, quality, repeats, topk, urls
+from sessionloom.llm import bytebpe, decontam, directcodes, interpolation, merkle, near, packing, pii, quality, repeats, topk, urls
 
 RULES = (
     urls.Rule("allow", "com", "/"),
@@ -86,6 +86,14 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.where("vec_id % 100 = 0"), vectors)
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later rows: where 3 divides the checksum of doc_id, the text's A-Z are lower-cased."""
+    capitals, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    later = F.when(touched, F.translate("text", capitals, small)).otherwise(F.col("text"))
+    return merkle.prove(_table(spark, sf_dir, "documents"), now={"text": later})
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     described = bytebpe.shared(spark, ranks, public_tokenizers.PATTERN)
@@ -101,7 +109,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_repeats, op3_quality, op4_decontamination, op5_near_duplicates, op6_url_filter, op7_packing,
-        op8_interpolation, op9_token_codes, op10_top_k, op13_byte_bpe,
+        op8_interpolation, op9_token_codes, op10_top_k, op11_manifest,
+        op13_byte_bpe,
     )
 }
 
