@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import bytebpe, decontam, directcodes, interpolation, merkle, near, packing, pii, quality, repeats, topk, urls
+from sessionloom.llm import bytebpe, decontam, directcodes, divergence, interpolation, merkle, near, packing, pii, quality, repeats, topk, urls
 
 RULES = (
     urls.Rule("allow", "com", "/"),
@@ -94,10 +94,14 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.prove(_table(spark, sf_dir, "documents"), now={"text": later})
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     described = bytebpe.shared(spark, ranks, public_tokenizers.PATTERN)
-    decoded = bytebpe.decode(bytebpe.encode(_table(spark, sf_dir, "documents"), described), described)
+    decoded = bytebpe.decode(bytebpe.encode(_table(spark, sf_dir, "documents"), described), described, texts=False)
     return decoded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
@@ -110,7 +114,7 @@ QUERIES = {
     for f in (
         op1_pii, op2_repeats, op3_quality, op4_decontamination, op5_near_duplicates, op6_url_filter, op7_packing,
         op8_interpolation, op9_token_codes, op10_top_k, op11_manifest,
-        op13_byte_bpe,
+        op12_source_divergence, op13_byte_bpe,
     )
 }
 
@@ -155,4 +159,41 @@ ORACLE = {
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op12_source_divergence": """
+        WITH docs AS (
+            SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+            FROM documents),
+        words AS (
+            SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+        kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+        sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        counted AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        totals AS (SELECT lang, source, sum(n) AS n FROM counted GROUP BY ALL),
+        sources AS (
+            SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(n, 0) AS total
+            FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN sizes USING (lang) LEFT JOIN totals USING (lang, source)),
+        shares AS (
+            SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+                   1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5)) // CAST(s.total + 5 * s.v AS HUGEINT) AS p
+            FROM sources s JOIN kept k USING (lang) LEFT JOIN counted c USING (lang, source, term)),
+        everywhere AS (
+            SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // CAST(sum(n) OVER (PARTITION BY lang) + 5 * v AS HUGEINT) AS q
+            FROM (SELECT lang, term, sum(n) AS n FROM counted GROUP BY ALL) JOIN sizes USING (lang)),
+        pairs AS (
+            SELECT a.lang, a.source, b.source AS item,
+                   coalesce((SELECT sum(abs(x.p - y.p)) FROM shares x JOIN shares y USING (lang, term)
+                             WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+            FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source),
+        terms AS (
+            SELECT lang, source, term AS item, p - q AS value FROM shares JOIN everywhere USING (lang, term) WHERE n > 0 AND p > q),
+        ranked AS (
+            SELECT lang, source, 'pair' AS part, item, value,
+                   row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+            UNION ALL
+            SELECT lang, source, 'term', item, value,
+                   row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+        FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
 }
