@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.workers import per_worker, slices, utf8
 
-#: Text that is encoded at a time (or one longer row).
-SLICE = 16 << 20
+#: Text whose different parts are encoded together, parts in one call, ids decoded at a time (or one longer row).
+SLICE, PARTS, IDS = 8 << 20, 20_000, 1 << 20
 ODD_BLANK = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -108,10 +108,12 @@ class Coder:
         self.tokenizer = Tokenizer.from_str(described)
         byte_of = {c: b for b, c in enumerate(letters())}
         entries = json.loads(described)["model"]["vocab"]
-        self.bytes_of = {i: bytes(byte_of[c] for c in entry) for entry, i in entries.items()}
-        self.sizes = np.zeros(max(self.bytes_of) + 1, np.int64)
-        for i, entry in self.bytes_of.items():
-            self.sizes[i] = len(entry)
+        by_id: list[bytes] = [b""] * (max(entries.values()) + 1)
+        for entry, i in entries.items():
+            by_id[i] = bytes(byte_of[c] for c in entry)
+        self.pool = np.frombuffer(b"".join(by_id), np.uint8)
+        self.sizes = np.array([len(entry) for entry in by_id], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -125,7 +127,8 @@ class Coder:
         """
         alone = [n for n, p in enumerate(parts) if not p or p[0].isspace() or p[-1].isspace()]
         texts = parts if not alone else np.delete(np.array(parts, object), alone).tolist()
-        ids = self._library([" " + " ".join(texts)] if texts else [""])[0]
+        calls = [" " + " ".join(texts[n : n + PARTS]) for n in range(0, len(texts), PARTS)]
+        ids = np.concatenate([np.zeros(0, np.int32), *[self._library([call])[0] for call in calls]])
         stops = np.cumsum([len(p.encode()) + 1 for p in texts], dtype=np.int64)
         ends = np.searchsorted(np.cumsum(self.sizes[ids]), stops) + 1
         counts = np.diff(ends, prepend=0)
@@ -170,12 +173,13 @@ class Coder:
         character = np.cumsum(data & 0xC0 != 0x80) - 1
         return character[ends - self.sizes[ids]], character[ends - 1] + 1
 
-    def decode(self, ids: Sequence[int]) -> bytes:
-        """The bytes of the ids; an id that the ranks lack is an error."""
-        try:
-            return b"".join([self.bytes_of[i] for i in ids])
-        except KeyError as error:
-            raise ValueError(f"no entry has id {error}") from None
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all ids in a row, where each id's bytes begin and end); an unknown id is an error."""
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.sizes) and self.sizes[ids].all()):
+            raise ValueError("the ranks lack an id")
+        sizes = self.sizes[ids]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        return self.pool[np.repeat(self.first[ids] - bounds[:-1], sizes) + np.arange(bounds[-1])], bounds
 
 
 def split_ends(data: bytes) -> tuple[int, int]:
@@ -234,27 +238,34 @@ def encode(
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, shape)
 
 
-def decode(rows: DataFrame, described, keep: Sequence[str] = ("doc_id", "ids"), ids: str = "ids") -> DataFrame:
-    """``keep``, ``data`` (the exact bytes), ``text``, ``cut_head`` and ``cut_tail``.
+def decode(
+    rows: DataFrame, described, keep: Sequence[str] = ("doc_id", "ids"), ids: str = "ids", texts: bool = True
+) -> DataFrame:
+    """``keep``, ``data`` (the exact bytes), ``cut_head``, ``cut_tail`` and, with ``texts``, ``text``.
 
     Ids cut out of a longer row may begin or end inside a character: ``cut_head`` and
     ``cut_tail`` count the bytes of such characters, and ``text`` has U+FFFD for them.
     Pieces of one row in order give its text when their ``data`` are joined first.
     """
-    own = ["data", "text", "cut_head", "cut_tail"]
-    shape = f"{_kept(rows, keep, own)}, data binary, text string, cut_head int, cut_tail int"
+    own = {"data": "binary", "cut_head": "int", "cut_tail": "int"} | ({"text": "string"} if texts else {})
+    shape = ", ".join([s for s in [_kept(rows, keep, list(own)), *[f"{c} {kind}" for c, kind in own.items()]] if s])
 
     def run(batches):
         coder = _coder(described)
-        for batch in batches:
-            column = batch.column("_ids")
-            values, bounds = column.flatten().to_pylist(), np.cumsum([0, *column.value_lengths().fill_null(0).to_pylist()])
-            found = [coder.decode(values[a:b]) for a, b in zip(bounds, bounds[1:])]
-            cuts = [split_ends(d) for d in found]
-            arrays = [
-                pa.array(found, pa.binary()), pa.array([d.decode(errors="replace") for d in found], pa.string()),
-                pa.array([c[0] for c in cuts], pa.int32()), pa.array([c[1] for c in cuts], pa.int32()),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*keep, *own])
+        for whole in batches:
+            sizes = whole.column("_ids").value_lengths().fill_null(0).to_numpy()
+            part = np.cumsum(sizes) // IDS
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
+            for start, stop in zip(edges, edges[1:]):
+                batch = whole.slice(start, stop - start)
+                places = np.concatenate([[0], np.cumsum(sizes[start:stop])])
+                data, bounds = coder.decode(batch.column("_ids").flatten().to_numpy())
+                ends = bounds[places]
+                found = [data[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+                cuts = np.array([split_ends(d) for d in found], np.int32).reshape(-1, 2)
+                arrays = [pa.array(found, pa.binary()), pa.array(cuts[:, 0]), pa.array(cuts[:, 1])]
+                if texts:
+                    arrays.append(pa.array([d.decode(errors="replace") for d in found], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*keep, *own])
 
     return rows.select(*keep, F.col(ids).alias("_ids")).mapInArrow(run, shape)
