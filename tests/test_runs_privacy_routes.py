@@ -1,5 +1,6 @@
 import datetime as dt
 import hashlib
+import itertools
 import json
 import random
 
@@ -131,6 +132,29 @@ def test_packing_equals_the_sequential_fill(spark):
     assert got == sequential_batches(rows)
 
 
+@pytest.mark.parametrize("seed, capacity, most, fan", [(1, 50, 60, 2), (2, 40, 40, 3), (3, 30, 8, 64), (4, 10, 1, 2), (5, 7, 7, 2)])
+def test_batch_starts_follow_the_sequential_rule(spark, monkeypatch, seed, capacity, most, fan):
+    """Deep trees, full buckets and pieces of a whole batch's size."""
+    monkeypatch.setattr(excerpts, "FAN", fan)
+    rng = random.Random(seed)
+    costs = [min(rng.randint(1, most), capacity) for _ in range(700)]
+    ends = list(itertools.accumulate(costs))
+    rows = [(n, end - cost, end) for n, (cost, end) in enumerate(zip(costs, ends))]
+    expected, used = [0], 0
+    for n, cost in enumerate(costs):
+        if used + cost > capacity:
+            expected.append(n)
+            used = 0
+        used += cost
+    df = spark.createDataFrame(rows, "number long, begin long, end long").repartition(4)
+    assert sorted(r.number for r in excerpts.batch_starts(df, capacity).collect()) == expected
+
+
+def test_no_batches_of_nothing(spark):
+    df = spark.createDataFrame([], "id long, harness string, ts timestamp, content string, segment_no long, topic string, confidence double")
+    assert excerpts.pack(df, ["ts", "id"]).count() == 0
+
+
 def test_packing_redacts_and_keeps_the_tail(spark):
     rows = [(0, "h", START, "a" * 100_000 + " TAIL-MARKER password=hunter2", 1, "t", 1.0)]
     df = spark.createDataFrame(rows, "id long, harness string, ts timestamp, content string, segment_no long, topic string, confidence double")
