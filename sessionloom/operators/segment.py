@@ -2,12 +2,17 @@
 
 ``keys=[]`` is one global time line; ``keys=["user_id"]`` segments each user on
 their own. Both run through the same range-partitioned order, so neither form
-has a single-task stage and a hot key is spread like any other rows.
+has a single-task stage and a hot key is spread like any other rows. Only keys
+and order columns are ordered, written and numbered; texts and all else join the
+result once, by key and order (which ends in something unique per key); ``keep``
+names those that are wanted (all by default).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +27,22 @@ MIN_SIMILARITY = 0.3
 
 
 def _in_order(entries: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return ordered.row_number(ordered.place(entries, [*keys, *order]), "seq")
+    """``keys``, ``order`` and ``seq``, the place in the whole order: no other column is ordered."""
+    named = list(dict.fromkeys([*keys, *order]))
+    return ordered.row_number(ordered.place(entries.select(*named), [*keys, *order]), "seq")
+
+
+def _with_rest(
+    entries: DataFrame, found: DataFrame, keys: Sequence[str], order: Sequence[str], rest: Sequence[str] | None = None
+) -> DataFrame:
+    """``found`` with the other columns of its entries, fetched once by key and order."""
+    named = list(dict.fromkeys([*keys, *order]))
+    rest = [c for c in entries.columns if c not in named] if rest is None else list(rest)
+    if not rest:
+        return found
+    left, right = entries.select(*named, *rest), found.withColumnsRenamed({c: f"_{c}" for c in named})
+    same = reduce(and_, [left[c].eqNullSafe(right[f"_{c}"]) for c in named])
+    return left.join(right, same).drop(*[f"_{c}" for c in named])
 
 
 def _with_gap(rows: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
@@ -32,36 +52,50 @@ def _with_gap(rows: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     return linked.withColumn("gap_minutes", gap).drop(f"prev_{ts}")
 
 
-def gaps(entries: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def _cosines(entries: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    worded = _with_rest(entries, rows.drop(ordered.BLOCK, ordered.PLACE), keys, order, ["content"])
+    return tfidf.neighbour_cosine(tfidf.weights(worded, ["seq"]), "seq")
+
+
+def gaps(
+    entries: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str] | None = None
+) -> DataFrame:
     """Entries with truncated minutes since the previous one and the gap-only split flag."""
-    return _with_gap(_in_order(entries, keys, order), keys, order[0]).withColumn(
+    found = _with_gap(_in_order(entries, keys, order), keys, order[0]).withColumn(
         "splits", F.col("prev_seq").isNull() | (F.col("gap_minutes") > MAX_GAP_MINUTES)
     )
+    return _with_rest(entries, found, keys, order, keep)
 
 
-def similarity(entries: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def similarity(
+    entries: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str] | None = None
+) -> DataFrame:
     """Entries with the cosine to their predecessor (NULL for the first of a key)."""
     rows = _in_order(entries, keys, order)
-    cosines = tfidf.neighbour_cosine(tfidf.weights(rows, ["seq"]), "seq")
-    return ordered.previous(rows, ["seq"], keys).join(cosines, "seq", "left").withColumn(
+    cosines = _cosines(entries, rows, keys, order)
+    found = ordered.previous(rows, ["seq"], keys).join(cosines, "seq", "left").withColumn(
         "cosine", F.when(F.col("prev_seq").isNotNull(), F.coalesce("cosine", F.lit(0.0)))
     )
+    return _with_rest(entries, found, keys, order, keep)
 
 
-def segment(entries: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def segment(
+    entries: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str] | None = None
+) -> DataFrame:
     """Entries with ``segment_no`` (from 1, per key) and ``seq`` (global order)."""
     rows = _in_order(entries, keys, order)
-    cosines = tfidf.neighbour_cosine(tfidf.weights(rows, ["seq"]), "seq")
+    cosines = _cosines(entries, rows, keys, order)
     scored = _with_gap(rows, keys, order[0]).join(cosines, "seq", "left")
     splits = (
         F.col("prev_seq").isNull()
         | (F.col("gap_minutes") > MAX_GAP_MINUTES)
         | (F.coalesce("cosine", F.lit(0.0)) < MIN_SIMILARITY)
     )
-    # Written once: four operators reread the result, and its blocks drive the running sum.
+    # Written because its blocks drive the running sum; narrow, like all that is ordered.
     flagged = cut_lineage(scored.withColumn("splits", splits.cast("int")).drop("cosine"))
     numbered = ordered.running_sums(flagged, {"segment_no": F.col("splits")}, keys)
-    return numbered.drop(ordered.BLOCK, ordered.PLACE, "splits", "prev_seq", "gap_minutes")
+    found = numbered.drop(ordered.BLOCK, ordered.PLACE, "splits", "prev_seq", "gap_minutes")
+    return _with_rest(entries, found, keys, order, keep)
 
 
 def topics(segmented: DataFrame, keys: Sequence[str]) -> DataFrame:

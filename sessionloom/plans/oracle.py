@@ -289,6 +289,10 @@ add(
         UNION ALL SELECT next, batch_no + 1 FROM said_starts JOIN said_next USING (n)""",
 )
 
+_STAMP = "make_timestamp((1704067200 + conv_id * 3600 + turn) * 1000000)"
+_LINE = "regexp_replace(text, '[\\r\\n]+', ' ', 'g')"
+_EDGES = "regexp_replace({}, '^[\\s\\p{{Z}}\\x85]+|[\\s\\p{{Z}}\\x85]+$', '', 'g')"
+
 SELECTS: dict[str, str] = {
     "normalize_entries": "SELECT id, user_id, content FROM norm_entries",
     "token_estimate": """SELECT role, count(*) AS entries, sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')))::BIGINT AS tokens
@@ -362,6 +366,14 @@ SELECTS: dict[str, str] = {
     "segment_confidence": """SELECT conv_id, round(coalesce(total, 0.0) / (n - 1), 6) AS confidence
         FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1)
         LEFT JOIN (SELECT conv_id, sum(cosine) AS total FROM cl_cos GROUP BY conv_id) USING (conv_id)""",
+    "file_text_entries": f"""SELECT 'chat' AS harness, {_STAMP} AS ts, {_EDGES.format(_LINE)} AS content FROM conversations
+        WHERE {_EDGES.format(_LINE)} <> ''""",
+    "file_json_entries": f"""SELECT 'chat' AS harness, {_STAMP} AS ts, {_LINE} AS content, role AS model FROM conversations WHERE {_LINE} <> ''""",
+    "file_markdown_entries": f"""SELECT 'chat' AS harness, content, count(*) AS entries FROM (
+        SELECT {_EDGES.format("line")} AS content FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents))
+        WHERE content <> '' AND NOT starts_with(content, '#') GROUP BY content""",
+    "file_snapshot_entries": """SELECT 'project' AS harness, 'bound:' || source || '/' || doc_id AS provider,
+        make_timestamp((1704067200 + doc_id) * 1000000) AS ts, md5(text) AS content_md5 FROM documents WHERE text <> ''""",
     "excerpt_batches": f"""SELECT batch_no, pieces, strlen(text) AS bytes, text FROM (
         SELECT batch_no, count(*) AS pieces,
                {quoted(_PREAMBLE)} || string_agg(line, '' ORDER BY p.n) || {quoted(_CLOSING)} AS text
@@ -467,6 +479,11 @@ SELECTS: dict[str, str] = {
     "run_list": "SELECT * FROM runs",
     "run_history": f"SELECT * FROM runs WHERE generated_at < TIMESTAMP '{AS_OF}'",
     "run_lookup": "SELECT * FROM runs WHERE run_id = 'run-2024-01-05 10:00:00'",
+    "run_documents": """SELECT run_id, date, generated_at, raw_entries || ' entries' AS executive_summary, raw_entries % 4 + 1 AS candidates
+        FROM runs WHERE raw_entries % 5 > 1
+        UNION ALL SELECT NULL, NULL, NULL, NULL, count(*) FROM runs WHERE raw_entries % 5 <= 1""",
+    "run_summaries": """SELECT run_id, date, generated_at, CASE WHEN raw_entries % 2 = 0 THEN 'again' ELSE raw_entries || ' entries' END
+        AS executive_summary, 1::BIGINT AS candidates FROM runs""",
     "sync_summary": """SELECT CASE WHEN NOT readable THEN 'failed' WHEN is_run THEN 'uploaded' ELSE 'skipped' END AS status, count(*) AS files
         FROM run_files GROUP BY 1""",
     "redact_attributes": f"""SELECT event_id, array_to_string(list_sort(list_transform(list_filter(json_keys(attributes),

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions import prose_numbers, redact, text
@@ -16,8 +17,8 @@ from sessionloom.operators import (
 from sessionloom.operators.lookups import join_by_key
 from sessionloom.plans import stages
 from sessionloom.plans.inputs import load, table
-from sessionloom.session import widen
-from sessionloom.sources import files, records, responses
+from sessionloom.session import shared_folder, widen
+from sessionloom.sources import files, records, responses, runstore
 
 AS_OF = "2024-01-20 00:00:00"
 ORDER = ["ts", "id"]
@@ -181,7 +182,7 @@ def tfidf_top_term(spark, sf_dir):
 @query
 def adjacent_cosine(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
-    scored = segment.similarity(turns, ["conv_id"], ["turn"])
+    scored = segment.similarity(turns, ["conv_id"], ["turn"], keep=[])
     return rounded(scored.select("conv_id", "turn", "cosine"), "cosine")
 
 
@@ -226,38 +227,126 @@ def numeric_prose(spark, sf_dir):
     )
 
 
+# --- files ---------------------------------------------------------------------------------
+
+
+def _written_files(spark: SparkSession, *parts: tuple[str, DataFrame]) -> str:
+    """A folder of text files, one subfolder for each (name, lines in ``value``)."""
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    for name, lines in parts:
+        lines.write.text(f"{folder}/{name}")
+    return folder
+
+
+def _said(spark, sf_dir) -> DataFrame:
+    """Conversation turns as log records, each on one line."""
+    stamp = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("conv_id") * 3600 + F.col("turn"))
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", F.regexp_replace("text", "[\\r\\n]+", " ").alias("text"),
+        F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("stamp"),
+    )
+
+
+def _entries(spark, folder, format) -> DataFrame:
+    entries, _ = files.read_harness(spark, files.Harness("chat", folder, format))
+    return entries.where(F.col("content") != "")
+
+
+@query
+def file_text_entries(spark, sf_dir):
+    """Turns written as stamped lines of plain-text files, and read back."""
+    lines = _said(spark, sf_dir).select(F.concat_ws(" ", "stamp", "text").alias("value"))
+    entries = _entries(spark, _written_files(spark, ("turns", lines)), "plain")
+    return entries.select("harness", F.col("ts").cast("timestamp_ntz").alias("ts"), "content")
+
+
+@query
+def file_json_entries(spark, sf_dir):
+    """Turns written as record-per-line files and as one array per file, and read back."""
+    record = F.to_json(F.struct(F.col("stamp").alias("timestamp"), F.col("text").alias("content"), F.col("role").alias("model")))
+    said = _said(spark, sf_dir).withColumn("value", record)
+    lines = said.where("conv_id % 2 = 0").select("value")
+    # One file per 500 conversations; its rows are the array's elements with their marks.
+    in_file = Window.partitionBy("file").orderBy("conv_id", "turn")
+    numbered = said.where("conv_id % 2 = 1").withColumn("file", F.expr("conv_id div 500")).withColumns(
+        {"n": F.row_number().over(in_file), "more": F.lead("value").over(in_file).isNotNull()}
+    )
+    marked = numbered.select(
+        "file", F.concat(F.when(F.col("n") == 1, "[").otherwise(""), "value", F.when(F.col("more"), ",").otherwise("]")).alias("value")
+    )
+    folder = _written_files(spark, ("lines", lines))
+    marked.write.partitionBy("file").text(f"{folder}/arrays")
+    entries = _entries(spark, folder, "json")
+    return entries.select("harness", F.col("ts").cast("timestamp_ntz").alias("ts"), "content", "model")
+
+
+@query
+def file_markdown_entries(spark, sf_dir):
+    """Documents written as Markdown with a heading each, and read back: every line is an entry."""
+    pages = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("# Document "), F.col("doc_id"), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("value")
+    )
+    entries = _entries(spark, _written_files(spark, ("documents", pages)), "markdown")
+    return entries.groupBy("harness", "content").agg(F.count("*").alias("entries"))
+
+
+@query
+def file_snapshot_entries(spark, sf_dir):
+    """Documents as one project snapshot per source and thousand ids, read back element by element."""
+    name = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    meta = F.struct(name.alias("relative_path"), (F.lit(1_704_067_200) + F.col("doc_id")).alias("modified_unix"))
+    element = F.to_json(F.struct(meta.alias("metadata"), F.col("text").alias("content")))
+    part = F.expr("doc_id div 1000").alias("part")
+    in_file = Window.partitionBy("source", part).orderBy("doc_id")
+    marked = documents(spark, sf_dir).select(
+        "source", part, F.row_number().over(in_file).alias("n"), element.alias("value"), F.lead("doc_id").over(in_file).isNotNull().alias("more")
+    ).select(
+        "source", "part",
+        F.concat(
+            F.when(F.col("n") == 1, '{"tree":"t","files":[').otherwise(""), "value", F.when(F.col("more"), ",").otherwise("]}")
+        ).alias("value"),
+    )
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    marked.write.partitionBy("source", "part").text(folder)
+    entries, _ = files.read_harness(spark, files.Harness("project", folder, "snapshot"))
+    return entries.select(
+        "harness", "provider", F.col("ts").cast("timestamp_ntz").alias("ts"), F.md5("content").alias("content_md5")
+    )
+
+
 # --- segmentation --------------------------------------------------------------------------
 
 
 @query
 def session_gaps(spark, sf_dir):
-    rows = segment.gaps(load(spark, sf_dir, "session_entries"), ["user_id"], ORDER)
+    rows = segment.gaps(load(spark, sf_dir, "session_entries"), ["user_id"], ORDER, keep=[])
     return rows.select("id", "user_id", "gap_minutes", "splits")
 
 
 @query
 def segment_ids(spark, sf_dir):
-    rows = segment.segment(load(spark, sf_dir, "session_entries"), ["user_id"], ORDER)
+    rows = segment.segment(load(spark, sf_dir, "session_entries"), ["user_id"], ORDER, keep=[])
     return rows.select("id", "user_id", "segment_no")
 
 
 @query
 def segment_ids_global(spark, sf_dir):
-    rows = segment.segment(load(spark, sf_dir, "session_entries"), [], ORDER)
+    rows = segment.segment(load(spark, sf_dir, "session_entries"), [], ORDER, keep=[])
     return rows.select("id", "segment_no")
 
 
 @query
 def segment_summary(spark, sf_dir):
-    rows = segment.segment(load(spark, sf_dir, "session_entries"), ["user_id"], ORDER)
+    rows = segment.segment(load(spark, sf_dir, "session_entries"), ["user_id"], ORDER, keep=["content"])
     return rounded(segment.summarize(rows, ["user_id"]), "confidence")
 
 
 def _conversation_segments(spark, sf_dir) -> DataFrame:
     """Each conversation as one segment."""
     turns = table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
-    placed = ordered.row_number(ordered.place(turns, ["conv_id", "turn"]), "seq")
-    return placed.withColumn("segment_no", F.lit(1))
+    placed = ordered.row_number(ordered.place(turns.select("conv_id", "turn"), ["conv_id", "turn"]), "seq")
+    numbered = placed.select("conv_id", "turn", "seq", F.lit(1).alias("segment_no"))
+    return turns.join(numbered, ["conv_id", "turn"])
 
 
 @query
@@ -618,6 +707,45 @@ def sync_summary(spark, sf_dir):
     return runs.sync_summary(load(spark, sf_dir, "run_files"))
 
 
+@query
+def run_documents(spark, sf_dir):
+    """Runs written as one JSON document each, among other JSON and broken files, and read back."""
+    stored = load(spark, sf_dir, "runs").select(
+        "run_id", F.col("raw_entries").alias("n"),
+        F.to_json(
+            F.struct(
+                F.col("run_id").alias("id"), F.date_format("generated_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("generated_at"),
+                "date", F.format_string("%d entries", "raw_entries").alias("executive_summary"),
+                F.transform(F.sequence(F.lit(1), F.col("raw_entries") % 4 + 1), lambda k: F.struct(k.cast("string").alias("id"))).alias("candidate_tools"),
+            )
+        ).alias("run"),
+    )
+    value = F.when(F.col("n") % 5 == 0, '{"unrelated":1}').when(F.col("n") % 5 == 1, "{oops").otherwise(F.col("run"))
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    stored.select("run_id", value.alias("value")).write.partitionBy("run_id").option("compression", "none").text(folder)
+    # Spark names text files .txt; a JSON folder may hold any names.
+    documents, unreadable = runstore.read_run_documents(spark, folder, names="*")
+    rows = runs.summary_rows(documents).withColumn("generated_at", F.col("generated_at").cast("timestamp_ntz"))
+    left = unreadable.agg(F.count("*").alias("candidates")).select(
+        *[F.lit(None).cast(t).alias(c) for c, t in rows.dtypes if c != "candidates"], "candidates"
+    )
+    return rows.unionByName(left)
+
+
+@query
+def run_summaries(spark, sf_dir):
+    """The run store after every run was stored and some were stored again."""
+    path = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    first = load(spark, sf_dir, "runs").select(
+        F.col("run_id").alias("id"), "run_id", "date", "generated_at", F.format_string("%d entries", "raw_entries").alias("executive_summary"),
+        F.array(F.struct(F.lit("1").alias("id"))).alias("candidate_tools"), "raw_entries",
+    )
+    runstore.append_runs(first.drop("raw_entries"), path)
+    again = first.where("raw_entries % 2 = 0").withColumn("executive_summary", F.lit("again"))
+    runstore.append_runs(again.drop("raw_entries"), path)
+    return runs.summary_rows(runstore.read_runs(spark, path).drop("run_id"))
+
+
 # --- privacy, routes, pilot ----------------------------------------------------------------
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from sessionloom.schema import ENTRY_COLUMNS, ENTRY_ORDER
 from sessionloom.functions.text import computed_once
-from sessionloom.sources import records
+from sessionloom.session import cut_lineage
+from sessionloom.sources import jsonsplits, records
 
 # File name endings of database side files that are never logs.
 SKIPPED_NAMES = r"\.(db|db-wal|db-shm|pb)$"
@@ -22,9 +23,9 @@ SKIPPED_NAMES = r"\.(db|db-wal|db-shm|pb)$"
 class Harness:
     """One log source.
 
-    ``layout`` applies to JSON: "lines" reads record-per-line files split by
-    split, "array" reads each file as one JSON array, "auto" looks at how each
-    file begins first (one extra pass over the text).
+    ``layout`` applies to JSON: "lines" reads record-per-line files, "array" reads
+    each file as one JSON array (both split by split, a file may have any size),
+    "auto" looks at how each file begins first (one extra pass over the text).
     """
 
     name: str
@@ -32,8 +33,7 @@ class Harness:
     format: str
     layout: str = "auto"
     table: str | None = None
-    # A file with invalid UTF-8 is dropped whole, which takes a second pass over
-    # the text; False keeps its readable lines and reads the text once.
+    # A file with invalid UTF-8 is dropped whole; False keeps its readable lines.
     drop_undecodable: bool = True
 
 
@@ -50,7 +50,7 @@ def _lines(spark: SparkSession, paths) -> DataFrame:
     raw = _reader(spark).text(paths, lineSep="\n")
     kept = raw.where(_is_log(meta["file_name"]))
     # Unique and increasing along each file; no shuffle is spent on line numbers.
-    key = F.struct(meta["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("row"))
+    key = _key(meta["file_block_start"], F.monotonically_increasing_id())
     return kept.select(
         "value", meta["file_path"].alias("source_path"),
         meta["file_modification_time"].alias("mtime"), key.alias("_key"),
@@ -65,20 +65,32 @@ def _listing(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _key(split, row, item=0) -> Column:
+    """Where a record stands in its file: split, row, and item inside the row."""
+    as_long = lambda v: (F.lit(v) if isinstance(v, int) else v).cast("bigint")
+    return F.struct(as_long(split).alias("split"), as_long(row).alias("row"), as_long(item).alias("item"))
+
+
+def _judged(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good rows, per-file counts) of ``parsed`` (good, bad, decodable): written once, read twice."""
+    stored = cut_lineage(parsed)
+    status = stored.groupBy("source_path").agg(
+        F.count_if("good").alias("good"), F.count_if("bad").alias("bad"),
+        F.count_if(~F.col("decodable")).alias("undecodable"),
+    )
+    return stored.where("good").drop("good", "bad", "decodable"), status
+
+
 def _text_entries(spark: SparkSession, harness: Harness, markdown: bool) -> tuple[DataFrame, DataFrame]:
-    lines = _lines(spark, harness.path)
-    text = records.trim_all(F.col("value"))
-    wanted = text != ""
+    trimmed = _lines(spark, harness.path).withColumn("_text", records.trim_all(F.col("value")))
+    wanted = F.col("_text") != ""
     if markdown:
-        wanted = wanted & ~text.startswith("#")
-    status = lines.groupBy("source_path").agg(
-        F.count_if(wanted).alias("good"), F.lit(0).cast("bigint").alias("bad"),
-        F.count_if(~F.is_valid_utf8("value")).alias("undecodable"),
-    )
-    rows = lines.where(wanted).select(
-        "source_path", "_key", *records.line_columns(text, F.col("mtime"))
+        wanted = wanted & ~F.col("_text").startswith("#")
+    parsed = trimmed.select(
+        "source_path", "_key", *records.line_columns(F.col("_text"), F.col("mtime")), wanted.alias("good"),
+        F.lit(False).alias("bad"), F.is_valid_utf8("value").alias("decodable"),
     )
-    return rows, status
+    return _judged(parsed.where(F.col("good") | ~F.col("decodable")))
 
 
 def _json_line_entries(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -86,36 +98,48 @@ def _json_line_entries(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         "*", computed_once(records.strict_json(F.col("value"))).alias("_record")
     )
     good = F.col("_record").isNotNull()
-    status = filled.groupBy("source_path").agg(
-        F.count_if(good).alias("good"), F.count_if(~good).alias("bad"),
-        F.count_if(~F.is_valid_utf8("value")).alias("undecodable"),
-    )
-    rows = filled.where(good).select(
-        "source_path", "_key", *records.entry_columns(F.col("_record"), F.col("mtime"))
+    return _judged(
+        filled.select(
+            "source_path", "_key", *records.entry_columns(F.col("_record"), F.col("mtime")), good.alias("good"),
+            (~good).alias("bad"), F.is_valid_utf8("value").alias("decodable"),
+        )
     )
-    return rows, status
+
+
+# Fixed value: what JSON takes as white space.
+JSON_SPACE = r"[ \t\n\r]*"
 
 
 def _json_array_entries(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
-    meta = F.col("_metadata")
-    whole = _reader(spark).text(paths, wholetext=True).where(_is_log(meta["file_name"]))
-    parsed = whole.select(
-        meta["file_path"].alias("source_path"), meta["file_modification_time"].alias("mtime"),
-        records.strict_json_array(F.col("value")).alias("_items"),
-        (~F.is_valid_utf8("value")).cast("bigint").alias("undecodable"),
+    """Arrays cut into pieces of whole elements; a file is one array if all its pieces are sound."""
+    cut = jsonsplits.pieces(spark, paths, _is_log(F.col("_metadata.file_name")), depth=1)
+    begun = cut.withColumn("_begun", F.regexp_replace("text", f"^{JSON_SPACE}", ""))
+    bare = ~F.col("first") & F.col("last") & F.col("_begun").rlike(f"^\\]{JSON_SPACE}$")
+    inner = F.expr("substring(_begun, 2)")
+    ended = F.regexp_replace(inner, f"\\]{JSON_SPACE}$", "")
+    marks = F.col("_begun").startswith(F.when(F.col("first"), "[").otherwise(","))
+    closed = ~F.col("last") | inner.rlike(f"\\]{JSON_SPACE}$")
+    body = F.when(marks & closed & ~bare, F.when(F.col("last"), ended).otherwise(inner))
+    itemised = begun.select(
+        "source_path", "mtime", "key", "first", "last", "decodable", bare.alias("bare"),
+        computed_once(records.strict_json_array(F.concat(F.lit("["), body, F.lit("]")))).alias("_items"),
     )
-    status = parsed.select(
-        "source_path", F.coalesce(F.size("_items"), F.lit(0)).cast("bigint").alias("good"),
-        F.col("_items").isNull().cast("bigint").alias("bad"), "undecodable",
+    filled = (F.size("_items") > 0) | (F.col("first") & F.col("last"))
+    stored = cut_lineage(itemised.withColumn("sound", F.col("bare") | (F.col("_items").isNotNull() & filled)))
+    status = stored.groupBy("source_path").agg(
+        F.sum(F.coalesce(F.size("_items"), F.lit(0))).cast("bigint").alias("good"),
+        F.when(F.bool_and("sound") & F.bool_or("first") & F.bool_or("last"), 0).otherwise(1).cast("bigint").alias("bad"),
+        F.count_if(~F.col("decodable")).alias("undecodable"),
     )
-    exploded = parsed.select("source_path", "mtime", F.posexplode_outer("_items").alias("_pos", "_record")).where(
-        F.col("_pos").isNotNull()
+    status = cut_lineage(status.withColumn("good", F.when(F.col("bad") == 0, F.col("good")).otherwise(F.lit(0))))
+    items = stored.where(F.col("_items").isNotNull()).select(
+        "source_path", "mtime", "key", F.posexplode("_items").alias("_pos", "_record")
     )
-    key = F.struct(F.lit(0).cast("bigint").alias("split"), F.col("_pos").cast("bigint").alias("row"))
-    rows = exploded.select(
-        "source_path", key.alias("_key"), *records.entry_columns(F.col("_record"), F.col("mtime"))
+    rows = items.select(
+        "source_path", _key(F.col("key.split"), F.col("key.row"), F.col("_pos")).alias("_key"),
+        *records.entry_columns(F.col("_record"), F.col("mtime")),
     )
-    return rows, status
+    return rows.join(status.where("bad = 0").select("source_path"), "source_path", "left_semi"), status
 
 
 def _json_entries(spark: SparkSession, harness: Harness) -> tuple[DataFrame, DataFrame]:
@@ -140,28 +164,52 @@ def _json_entries(spark: SparkSession, harness: Harness) -> tuple[DataFrame, Dat
     return array_rows.unionByName(line_rows), arrays.unionByName(line_status)
 
 
+# Fixed value: the shape of a project snapshot.
+SNAPSHOT = (
+    "tree string, files array<struct<metadata:struct<relative_path:string,size_bytes:bigint,line_count:bigint,"
+    "modified_unix:bigint,sha256:string>,content:string>>"
+)
+
+
 def _snapshot_entries(spark: SparkSession, harness: Harness) -> tuple[DataFrame, DataFrame]:
-    """Project snapshots: ``{tree, files: [{metadata, content}]}`` documents."""
-    file_type = (
-        "array<struct<metadata:struct<relative_path:string,size_bytes:bigint,line_count:bigint,"
-        "modified_unix:bigint,sha256:string>,content:string>>"
+    """Project snapshots: ``{tree, files: [{metadata, content}]}`` documents, cut between files.
+
+    A document whose other fields close braces at the same depth is put together again.
+    """
+    cut = jsonsplits.pieces(spark, harness.path, _is_log(F.col("_metadata.file_name")), depth=2)
+    opened = F.concat(F.lit('{"files":['), F.regexp_replace("text", f"^{JSON_SPACE},", ""))
+    begun = F.when(F.col("first"), F.col("text")).when(
+        F.col("text").rlike(f"^{JSON_SPACE},"), opened
+    ).when(F.col("last"), F.concat(F.lit('{"files":['), F.col("text")))
+    document = F.when(F.col("last"), begun).otherwise(F.concat(begun, F.lit("]}")))
+
+    def parsed(rows: DataFrame) -> DataFrame:
+        strict = computed_once(F.when(records.strict_json(F.col("document")).isNotNull(), F.from_json("document", SNAPSHOT)))
+        return rows.select("source_path", "key", "decodable", "first", "last", strict.alias("doc"))
+
+    stored = cut_lineage(cut.withColumn("document", document))
+    pieces = cut_lineage(parsed(stored))
+    whole = pieces.groupBy("source_path").agg(
+        (F.bool_and(F.col("doc.files").isNotNull()) & F.bool_or("first") & F.bool_or("last")).alias("sound")
     )
-    docs = _reader(spark).schema(f"tree string, files {file_type}").json(harness.path, multiLine=True)
-    items = docs.select(
-        F.col("_metadata.file_path").alias("source_path"), F.posexplode("files").alias("_pos", "_file")
+    apart = cut_lineage(whole.where(~F.col("sound")).select("source_path"))
+    again = stored.join(apart, "source_path", "left_semi").groupBy("source_path").agg(
+        F.min("key").alias("key"), F.bool_and("decodable").alias("decodable"), F.lit(True).alias("first"), F.lit(True).alias("last"),
+        F.array_join(F.array_sort(F.collect_list(F.struct("key", "text")))["text"], "").alias("document"),
     )
+    docs = pieces.join(apart, "source_path", "left_anti").unionByName(parsed(again))
+    items = docs.select("source_path", "key", F.posexplode("doc.files").alias("_pos", "_file"))
     meta = F.col("_file.metadata")
-    key = F.struct(F.lit(0).cast("bigint").alias("split"), F.col("_pos").cast("bigint").alias("row"))
     rows = items.where(meta.isNotNull()).select(
-        "source_path", key.alias("_key"), F.timestamp_seconds(meta["modified_unix"]).alias("ts"),
-        F.col("_file.content").alias("content"),
+        "source_path", _key(F.col("key.split"), F.col("key.row"), F.col("_pos")).alias("_key"),
+        F.timestamp_seconds(meta["modified_unix"]).alias("ts"), F.col("_file.content").alias("content"),
         # Fixed value: how a snapshot file is named as provider.
         F.concat(F.lit("bound:"), meta["relative_path"]).alias("provider"),
     )
-    status = docs.select(
-        F.col("_metadata.file_path").alias("source_path"),
-        F.size(F.filter(F.coalesce("files", F.array().cast(file_type)), lambda f: f["metadata"].isNotNull())).cast("bigint").alias("good"),
-        F.col("files").isNull().cast("bigint").alias("bad"), F.lit(0).cast("bigint").alias("undecodable"),
+    listed = F.size(F.filter("doc.files", lambda f: f["metadata"].isNotNull()))
+    status = docs.groupBy("source_path").agg(
+        F.sum(F.coalesce(listed, F.lit(0))).cast("bigint").alias("good"),
+        F.count_if(F.col("doc.files").isNull()).alias("bad"), F.count_if(~F.col("decodable")).alias("undecodable"),
     )
     return rows, status
 
@@ -173,7 +221,7 @@ def table_entries(logs: DataFrame, harness: str, harness_idx: int = 0) -> DataFr
     rows = logs.where(F.col("feedback_log_body").isNotNull() & in_range).select(
         F.timestamp_seconds(ts).alias("ts"), F.col("feedback_log_body").alias("content"),
         F.lit("openai").alias("provider"), F.lit(None).cast("string").alias("source_path"),
-        F.struct(F.lit(0).cast("bigint").alias("split"), F.monotonically_increasing_id().alias("row")).alias("_key"),
+        _key(0, F.monotonically_increasing_id()).alias("_key"),
     )
     return _finish(rows, harness, harness_idx)
 
@@ -250,7 +298,8 @@ def read_harness(spark: SparkSession, harness: Harness, idx: int = 0) -> tuple[D
         F.when(F.col("_failed"), F.concat("source_path", F.lit(": "), reason)).alias("warning"),
     )
     if harness.drop_undecodable:
-        broken = judged.where(F.col("undecodable") > 0).select("source_path")
+        # Written, so that Spark knows how small it is before it joins the rows with it.
+        broken = cut_lineage(judged.where(F.col("undecodable") > 0).select("source_path"))
         rows = rows.join(broken, "source_path", "left_anti")
     return _finish(rows, harness.name, idx), files
 
@@ -264,7 +313,7 @@ def read_logs(spark: SparkSession, harnesses: list[Harness]) -> tuple[DataFrame,
         empty = spark.range(0).select(
             F.lit(None).cast(T.TimestampType()).alias("ts"), F.lit("").alias("content"),
             F.lit("").alias("source_path"),
-            F.struct(F.lit(0).cast("bigint").alias("split"), F.col("id").alias("row")).alias("_key"),
+            _key(0, F.col("id")).alias("_key"),
         )
         return _finish(empty, "", 0), status
     return reduce(DataFrame.unionByName, entries), status

@@ -36,7 +36,7 @@ def strict_json(text: Column) -> Column:
 
 def strict_json_array(text: Column) -> Column:
     wrapped = F.concat(F.lit('{"v":'), text, F.lit("}"))
-    return F.from_json(wrapped, "v array<variant>")["v"]
+    return F.try_variant_get(F.try_parse_json(wrapped), "$.v", "array<variant>")
 
 
 def field(record: Column, name: str) -> Column:

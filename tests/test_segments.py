@@ -94,3 +94,21 @@ def test_topic_shift_splits(spark):
     summary = {r.segment_no: r for r in segment.summarize(segmented, []).collect()}
     assert len(summary) == 2
     assert summary[1].topic in ("build", "rust")
+
+
+def test_texts_are_not_ordered_or_written(spark, monkeypatch):
+    """Only keys and order columns reach the placed table; texts join the result once."""
+    placed = []
+    place = segment.ordered.place
+    monkeypatch.setattr(segment.ordered, "place", lambda df, order: placed.append(df.columns) or place(df, order))
+    rows = [(i, f"u{i % 2}", START + dt.timedelta(minutes=20 * i), "build rust") for i in range(20)]
+    wide = segment.segment(frame(spark, rows), ["user_id"], ["ts", "id"])
+    assert segment.gaps(frame(spark, rows), ["user_id"], ["ts", "id"], keep=[]).where("splits").count() == 20
+    assert placed == [["user_id", "ts", "id"]] * 2
+    assert {r.content for r in wide.collect()} == {"build rust"} and wide.count() == 20
+
+
+def test_null_keys_keep_their_texts(spark):
+    rows = [(1, None, START, "a"), (2, None, START, "b"), (3, "u", None, "c")]
+    got = segment.segment(frame(spark, rows), ["user_id"], ["ts", "id"]).collect()
+    assert {r.id: r.content for r in got} == {1: "a", 2: "b", 3: "c"}

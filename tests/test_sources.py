@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,12 +178,22 @@ def test_responses_are_rejected_whole(spark):
 
 def test_run_store(spark, tmp_path):
     path = str(tmp_path / "runs")
-    for i in range(2):
-        rows = spark.createDataFrame([(f"run{i}", "2026-01-01", f"2026-01-01 0{i}:00:00")], "run_id string, date string, at string")
-        runstore.append_runs(rows.select("run_id", "date", F.col("at").cast("timestamp").alias("generated_at")), path)
+
+    def store(*rows):
+        df = spark.createDataFrame(list(rows), "run_id string, date string, at string, n int")
+        runstore.append_runs(df.select("run_id", "date", F.col("at").cast("timestamp").alias("generated_at"), "n"), path)
+
+    store(("007", "2026-01-01", "2026-01-01 00:00:00", 1))
+    store(("8", "2026-01-01", "2026-01-01 01:00:00", 1), ("9", "2026-01-02", "2026-01-02 01:00:00", 1))
+    store(("007", "2026-01-01", "2026-01-01 00:00:00", 2))  # a repeated run replaces itself only
     stored = runstore.read_runs(spark, path)
-    assert stored.count() == 2
-    assert runs.latest_per_date(stored, "2026-01-01").collect()[0].run_id == "run1"
+    assert sorted((r.run_id, r.date, r.n) for r in stored.collect()) == [("007", "2026-01-01", 2), ("8", "2026-01-01", 1), ("9", "2026-01-02", 1)]
+    assert runs.latest_per_date(stored, "2026-01-01").collect()[0].run_id == "8"
+    assert [r.run_id for r in runstore.newest_run(spark, path).collect()] == ["9"]
+    assert [r.run_id for r in runstore.newest_run(spark, path, "2026-01-01").collect()] == ["8"]
+    plan = runs.by_id(stored.where("date = '2026-01-01'"), "007")._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "date" in filters and "run_id" in filters
 
 
 def test_run_documents(spark, tmp_path):
@@ -197,7 +208,7 @@ def test_run_documents(spark, tmp_path):
     documents, unreadable = runstore.read_run_documents(spark, str(tmp_path))
     listed = runs.listing(runs.summary_rows(documents)).collect()
     assert [(r.run_id, r.candidates) for r in listed] == [("new", 0), ("old", 1)]
-    assert unreadable.count() == 2
+    assert unreadable.count() == 2  # notes.txt is no JSON file
     assert runs.latest(runs.summary_rows(documents)).collect()[0].run_id == "new"
     status = {r.status: r.files for r in runs.sync_summary(runstore.classify_files(spark, [str(tmp_path)] * 2)).collect()}
     assert status == {"uploaded": 2, "skipped": 2}
@@ -206,19 +217,25 @@ def test_run_documents(spark, tmp_path):
     write(tmp_path, "a/.failing.json.crc", b"crc\x00\x00\x00\x02\x00\x12\x34\x56\x78")
     status = {r.status: r.files for r in runs.sync_summary(runstore.classify_files(spark, [str(tmp_path)])).collect()}
     assert status == {"uploaded": 2, "skipped": 2, "failed": 1}
+    _, unreadable = runstore.read_run_documents(spark, str(tmp_path))
+    assert sorted(r.source_path.split("/")[-1] for r in unreadable.collect()) == ["broken.json", "failing.json", "other.json"]
 
 
 def test_backlog_and_report_sinks(spark, tmp_path):
     backlog = spark.createDataFrame([("dream-001", "HIGH")], "id string, priority string")
-    for run in ("r1", "r2"):
+    for run in ("r1", "r2", "r2"):
         runstore.write_backlog(backlog, str(tmp_path / "b"), run)
     assert spark.read.json(str(tmp_path / "b/active")).count() == 1
     assert spark.read.json(str(tmp_path / "b/history")).count() == 2
     projects = spark.createDataFrame([("/p1",), ("/p2",), ("/p1",)], "path string")
-    runstore.write_project_backlogs(backlog, projects, str(tmp_path / "all"))
-    for path, rows in (("/p1", 1), ("/p2", 1), ("/p3", 0)):
-        own = runstore.read_project_backlog(spark, str(tmp_path / "all"), path).collect()
-        assert [(r.path, r.id) for r in own] == [(path, "dream-001")] * rows
+    runstore.write_project_backlogs(backlog, projects, str(tmp_path / "all"), "r1")
+    later = spark.createDataFrame([("dream-002", "LOW")], "id string, priority string")
+    runstore.write_project_backlogs(later, projects.where("path = '/p1'"), str(tmp_path / "all"), "r2")
+    expected = {("r1", "/p1"): ["dream-001"], ("r1", "/p2"): ["dream-001"], ("r1", "/p3"): [], ("r2", "/p1"): ["dream-002"], ("r2", "/p2"): []}
+    for (run, path), ids in expected.items():
+        own = runstore.read_project_backlog(spark, str(tmp_path / "all"), path, run)
+        assert [(r.path, r.id) for r in own.collect()] == [(path, i) for i in ids]
+    assert "run_id" in own._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_line_separators_stay_in_the_text(spark):
@@ -252,3 +269,81 @@ def test_finding_numbers_never_collide(spark):
     found = tables["missing_tooling"].orderBy("ord").collect()
     assert [r.purpose for r in found] == ["f", "c", "d", "e", "a", "b"]
     assert len({r.ord for r in found}) == 6
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files are dealt out in splits of a few words."""
+    names = {"spark.sql.files.maxPartitionBytes": "97", "spark.sql.files.openCostInBytes": "61"}
+    before = {n: spark.conf.get(n) for n in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+AWKWARD = ["}", "{[", '"', "\\", '\\"}', "] , [", "", "é}ü", "\n", "x" * 300, "},{"]
+
+
+def generated_array(seed, size):
+    rng = random.Random(seed)
+    text = lambda: "".join(rng.choice(AWKWARD) for _ in range(rng.randint(0, 6)))
+    made = [
+        lambda: {"content": text(), "deep": {"a": [{"b": text()}, {}], text(): [[]]}}, lambda: {"message": text()},
+        lambda: rng.randint(0, 9), text, lambda: [{"content": text()}, [text()]], lambda: None, lambda: {},
+    ]
+    return [rng.choice(made)() for _ in range(size)]
+
+
+@pytest.mark.parametrize("seed, size, indent", [(1, 120, None), (2, 60, 1), (3, 0, None), (4, 1, None), (5, 7, 3)])
+def test_arrays_over_many_splits(spark, tmp_path, small_splits, seed, size, indent):
+    items = generated_array(seed, size)
+    path = write(tmp_path, "a.json", json.dumps(items, indent=indent, ensure_ascii=bool(seed % 2)) + "\n" * (seed % 3))
+    entries, status = files.read_harness(spark, Harness("h", path, "json", layout="array"))
+    found = [r.content for r in entries.orderBy("line_key").collect()]
+    expected = [next((i[f] for f in ("content", "message") if f in i), "") if isinstance(i, dict) else "" for i in items]
+    assert found == expected
+    [file] = status.collect()
+    assert (file.failed, file.accepted) == (0, size)
+
+
+def test_what_is_no_array_is_refused(spark, tmp_path, small_splits):
+    texts = [
+        '[{"a":1}', '[{"a":1},]', '{"a":1}]', '[{"a":1}{"b":2}]', '[{"a":1}] x', '[,{"a":1}]', '[{"a":1},,{"b":2}]', '[{"a":"}]', '[1],[{"a":2}]',
+        "[{'a':1}]", '[{"a":1}]]', '[{"a":1}],{"b":1}', '[{"a":1}\\}]', '"[{}]"', "{}", '[[{"a":1}]', '[{"content":"x"},{"content":"y"}}',
+    ]
+    for n, text in enumerate(texts):
+        write(tmp_path, f"{n}.json", text)
+    _, status = files.read_harness(spark, Harness("h", str(tmp_path), "json", layout="array"))
+    found = {r.source_path.split("/")[-1]: (r.failed, r.accepted) for r in status.collect()}
+    assert found == {f"{n}.json": (1, 0) for n in range(len(texts))}
+
+
+def test_one_written_parse_feeds_rows_and_status(spark, tmp_path):
+    path = write(tmp_path, "a.txt", "one\n\ntwo\n")
+    entries, status = files.read_harness(spark, Harness("p", path, "plain"))
+    for df in (entries, status):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan text" not in plan and "Scan text" not in plan
+    assert "ShuffledHashJoin" not in entries._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in entries._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("other", [{}, {"version": {"deep": {"x": []}}, "after": [{"files": []}]}])
+def test_snapshots_over_many_splits(spark, tmp_path, small_splits, other):
+    rng = random.Random(9)
+    items = []
+    for k in range(30):
+        content = "".join(rng.choice(AWKWARD) for _ in range(8))
+        meta = {"relative_path": f"d/{k}}}.txt", "size_bytes": 1, "line_count": 1, "modified_unix": 1710000000 + k, "sha256": "x"}
+        items.append({"metadata": meta, "content": content} if k % 5 else {"content": content})
+    doc = {"tree": 'a } " {', "files": items} | other
+    if other:
+        doc = {"version": other["version"], **doc}
+    write(tmp_path, "s.json", json.dumps(doc))
+    write(tmp_path, "bad.json", json.dumps(doc)[:-1])
+    entries, status = files.read_harness(spark, Harness("s", str(tmp_path), "snapshot"))
+    found = [(r.content, r.provider) for r in entries.orderBy("line_key").collect()]
+    assert found == [(i["content"], "bound:" + i["metadata"]["relative_path"]) for i in items if "metadata" in i]
+    assert sorted((r.failed, r.accepted) for r in status.collect()) == [(0, 24), (1, 0)]
