@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,12 +59,16 @@ def _lines(spark: SparkSession, paths) -> DataFrame:
     )
 
 
+def _as_path(address: str) -> str:
+    """A file's address as a path for a reader: unescaped, and free of wildcards."""
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", unquote(address))
+
+
 def _listing(spark: SparkSession, path: str) -> DataFrame:
     """Log files under ``path``; only names are read, never contents."""
     files = _reader(spark).format("binaryFile").load(path)
-    return files.where(_is_log(F.element_at(F.split("path", "/"), -1))).select(
-        F.col("path").alias("source_path")
-    )
+    # Named as the text readers name them: escaped characters are escaped here too.
+    return files.where(_is_log(F.col("_metadata.file_name"))).select(F.col("_metadata.file_path").alias("source_path"))
 
 
 def _key(split, row, item=0) -> Column:
@@ -152,7 +158,7 @@ def _json_entries(spark: SparkSession, harness: Harness) -> tuple[DataFrame, Dat
         F.min_by(F.left(records.trim_all(F.col("value")), F.lit(1)), "_key").alias("head")
     )
     # File names only, the same list Spark's own file index keeps on the driver.
-    bracketed = [row.source_path for row in first.where(F.col("head") == "[").toLocalIterator()]
+    bracketed = [_as_path(row.source_path) for row in first.where(F.col("head") == "[").toLocalIterator()]
     if not bracketed:
         return _json_line_entries(lines)
     array_rows, array_status = _json_array_entries(spark, bracketed)

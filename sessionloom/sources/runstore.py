@@ -77,7 +77,8 @@ def classify_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 def _listed(spark: SparkSession, folders: str | list[str], names: str = "*.json") -> DataFrame:
     """(source_path, length) of the files; contents are not read."""
     named = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names)
-    return named.format("binaryFile").load(folders).select(F.col("path").alias("source_path"), "length")
+    # Named as other readers name them: characters that an address escapes are escaped here too.
+    return named.format("binaryFile").load(folders).select(F.col("_metadata.file_path").alias("source_path"), "length")
 
 
 def _forgiving(spark: SparkSession, names: str = "*.json"):

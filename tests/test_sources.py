@@ -71,6 +71,21 @@ def test_markdown_and_plain(spark, tmp_path):
     assert set(content[3:]) == {"- first action", "second", "2026-99-07T10:00:00Z broken"}
 
 
+def test_names_with_blanks_and_signs(spark, tmp_path):
+    write(tmp_path, "a b%20ü.txt", "one\ntwo\n")
+    write(tmp_path, "c d.txt", b"\xff\n")
+    rows, report = read(spark, Harness("p", str(tmp_path), "plain"))
+    assert sorted(r.content for r in rows) == ["one", "two"]
+    assert (report["p"].files_seen, report["p"].files_failed, report["p"].entries_accepted) == (2, 1, 2)
+
+
+def test_bracketed_names_in_an_array_folder(spark, tmp_path):
+    write(tmp_path, "a b%20{1}[x].json", '[{"content":"x"}]')
+    write(tmp_path, "c d.json", '{"content":"y"}\n')
+    rows, report = read(spark, Harness("p", str(tmp_path), "json"))
+    assert sorted(r.content for r in rows) == ["x", "y"] and report["p"].files_failed == 0
+
+
 def test_side_files_are_skipped(spark, tmp_path):
     for name in ("conversation", "x.db", "x.DB-WAL", "x.db-shm", "x.pb"):
         write(tmp_path, name, "hello there\n")
