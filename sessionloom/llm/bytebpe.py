@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from sessionloom.llm.workers import per_worker, slices, utf8
 
 #: Text whose different parts are encoded together, parts in one call, ids decoded at a time (or one longer row).
-SLICE, PARTS, IDS = 8 << 20, 20_000, 1 << 20
+SLICE, PARTS, IDS = 4 << 20, 10_000, 1 << 19
 ODD_BLANK = re.compile(r"\s (?:\s|\Z)")
 
 
