@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sessionloom.functions.scores import mapped
-from sessionloom.sources.records import trim_all
+from sessionloom.functions.text import trim_all
 
 # Number words that are understood.
 NUMBER_WORDS = {

@@ -16,6 +16,12 @@ STOPWORDS = (
 
 WORD_BREAK = r"[^\p{IsAlphabetic}\p{N}]+"
 SPACE_RUN = r"(?U)\s+"
+EDGE_SPACE = r"(?U)^\s+|\s+$"
+
+
+def trim_all(text: Column) -> Column:
+    """Without white space, Unicode's included, at the ends."""
+    return F.regexp_replace(text, EDGE_SPACE, "")
 
 
 def _lowered_pieces(text: Column) -> Column:

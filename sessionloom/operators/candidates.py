@@ -186,24 +186,54 @@ def opportunities(candidate_rows: DataFrame) -> DataFrame:
     )
 
 
-def envelopes(run_rows: DataFrame, source_id: str, version: str) -> DataFrame:
-    """(run_id, envelope): the JSON header of each published run.
+ENVELOPE_PART = 1_000
+OPPORTUNITY = [
+    "id", "title", "summary", "priority", "confidence", "estimated_hours", "evidence_count", "repositories", "decision",
+]
 
-    ``run_rows`` has run_id, generated_at, executive_summary and the pipeline
-    counts. Opportunities are published as rows of their own beside it.
-    """
+
+def _run(source_id: str, version: str, *more: Column) -> Column:
     stamp = F.date_format("generated_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    run = F.struct(
+    return F.struct(
         F.col("run_id").alias("id"),
         stamp.alias("generated_at"),
         F.struct(F.lit(source_id).alias("id"), F.lit(version).alias("cli_version")).alias("source"),
         F.col("executive_summary").alias("summary"),
         F.struct("raw_entries", "normalized_entries", "segments", "estimated_input_tokens").alias("pipeline"),
+        *more,
     )
-    header = F.to_json(F.struct(F.lit(1).alias("schema_version"), run.alias("run")))
+
+
+def envelopes(run_rows: DataFrame, source_id: str, version: str) -> DataFrame:
+    """(run_id, envelope): the JSON header of each published run.
+
+    ``run_rows`` has run_id, generated_at, executive_summary and the pipeline counts.
+    """
+    header = F.to_json(F.struct(F.lit(1).alias("schema_version"), _run(source_id, version).alias("run")))
     return run_rows.select("run_id", header.alias("envelope"))
 
 
+def nested_envelopes(
+    run_rows: DataFrame, opportunity_rows: DataFrame, source_id: str, version: str, part: int = ENVELOPE_PART
+) -> DataFrame:
+    """(run_id, part, envelope): each run's JSON document with its opportunities in id order.
+
+    ``opportunity_rows`` is ``opportunities`` with a run_id. A document holds at most
+    ``part`` of them; a run with more has further parts, each with the run's header.
+    Project names are not nested: ``projects`` has them as rows by run and id.
+    """
+    named = opportunity_rows.withColumnRenamed("estimated_value", "estimated_hours")
+    placed = ordered.place(named.select("run_id", *OPPORTUNITY), ["run_id", "id"])
+    numbered = ordered.running_sums(placed, {"_n": F.lit(1)}, ["run_id"])
+    filled = numbered.groupBy("run_id", F.expr(f"cast((_n - 1) div {part} as int)").alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("_n", F.struct(*OPPORTUNITY).alias("o"))))["o"].alias("_held")
+    )
+    rows = run_rows.join(filled, "run_id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    nested = _run(source_id, version, F.coalesce("_held", F.array()).alias("opportunities"))
+    document = F.to_json(F.struct(F.lit(1).alias("schema_version"), nested.alias("run")))
+    return rows.select("run_id", "part", document.alias("envelope"))
+
+
 def backlog(candidate_rows: DataFrame) -> DataFrame:
     """Numbered backlog items in confidence order."""
     placed = ordered.place(candidate_rows, [F.col("confidence").desc(), F.col("id").asc()])

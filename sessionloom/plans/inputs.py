@@ -199,10 +199,11 @@ INPUTS = {
     # response has trailing commas, one inside a string literal must stay.
     "responses": f"""
         SELECT event_id AS batch_no,
-               'Here you go: {{{{"model_failures":[{{{{"model":"m' || CAST(user_id % 3 AS STRING) || '","issue":"i","frequency":"'
+               'Here you go: {{{{"model_failures":[{{{{"model":"m' || CAST(user_id % 3 AS STRING) || '","issue":' || CASE event_id % 3 WHEN 1 THEN '0x1F' WHEN 2 THEN '+.5' ELSE '"i"' END || ',"frequency":"'
                || CASE event_id % 4 WHEN 0 THEN '12-plus' WHEN 1 THEN 'three' WHEN 2 THEN '7 times' ELSE '4' END
-               || '","example":"e,]"}}}},"short note"' || c || '],"harness_friction":[{{{{"harness":"h' || CAST(user_id % 4 AS STRING)
-               || '","issue":"slow","severity":0.25' || c || '}}}}],"missing_tooling":["a linter"' || c || '],"workflow_bottlenecks":[{{{{"description":"wait '
+               || '","example":"e,] +.5 0x1F Infinity"}}}},"short note"' || c || '],"harness_friction":[{{{{"harness":"h' || CAST(user_id % 4 AS STRING)
+               || '","issue":"sl' || CASE event_id % 3 WHEN 2 THEN chr(92) || chr(10) ELSE '' END || 'ow","severity":0.25'
+               || CASE event_id % 3 WHEN 1 THEN ',"extra":-Infinity' ELSE '' END || c || '}}}}],"missing_tooling":["a linter"' || c || '],"workflow_bottlenecks":[{{{{"description":"wait '
                || CAST(user_id % 9 AS STRING) || '","frequency":' || CAST(user_id % 50 AS STRING) || ',"time_impact_minutes":ten minutes}}}}'
                || c || '],"repeated_commands":[{{{{"command":"git ,}}}} x","frequency":2,"context":"c"}}}}],"repeated_prompts":["again"],"context_loss":'
                || '[{{{{"description":"lost","affected_segments":["s1","s' || CAST(user_id % 6 AS STRING) || '"' || c || ']}}}}]'

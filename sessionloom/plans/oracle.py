@@ -289,6 +289,17 @@ add(
         UNION ALL SELECT next, batch_no + 1 FROM said_starts JOIN said_next USING (n)""",
 )
 
+add(
+    nested_owned="""SELECT 'run-' || substring(id, 4)::INT % 10 AS run_id, {'id': id, 'title': name, 'summary': reason, 'priority': lower(priority),
+        'confidence': round(round(greatest(least(confidence, 1.0), 0.0), 9) * 100)::INT,
+        'estimated_hours': round(coalesce(try_cast(nullif(regexp_extract(estimated_time_saved, '[0-9.]+'), '') AS DOUBLE), 0.0), 6),
+        'evidence_count': 1, 'repositories': CASE WHEN len(existing_matches) > 0 THEN len(existing_matches) ELSE project_count END::BIGINT,
+        'decision': CASE WHEN len(existing_matches) > 0 THEN 'extend' ELSE 'generate' END} AS o FROM cands""",
+    nested_held="""SELECT run_id, part, list(o ORDER BY o.id) AS os FROM (
+        SELECT *, ((row_number() OVER (PARTITION BY run_id ORDER BY o.id) - 1) // 3)::INT AS part FROM nested_owned) GROUP BY run_id, part""",
+    nested_heads="""SELECT 'run-' || id % 11 AS run_id, max(ts) AS last_ts, count(*) AS n, count(DISTINCT user_id) AS s,
+        sum(len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '')))::BIGINT AS t FROM norm_entries GROUP BY 1""",
+)
 _STAMP = "make_timestamp((1704067200 + conv_id * 3600 + turn) * 1000000)"
 _LINE = "regexp_replace(text, '[\\r\\n]+', ' ', 'g')"
 _EDGES = "regexp_replace({}, '^[\\s\\p{{Z}}\\x85]+|[\\s\\p{{Z}}\\x85]+$', '', 'g')"
@@ -322,7 +333,7 @@ SELECTS: dict[str, str] = {
     "ingestion_warnings": "SELECT harness, path, warning FROM file_status WHERE warning IS NOT NULL",
     "parsed_responses": """SELECT event_id AS batch_no, unnest(['model_failures', 'model_failures', 'harness_friction', 'missing_tooling',
           'workflow_bottlenecks', 'repeated_commands', 'repeated_prompts', 'context_loss', 'automation_opportunities']) AS kind,
-        unnest([printf('{"model":"m%d","issue":"i","frequency":%d,"example":"e,]"}', user_id % 3, [12, 3, 7, 4][event_id % 4 + 1]),
+        unnest([printf('{"model":"m%d","issue":"%s","frequency":%d,"example":"e,] +.5 0x1F Infinity"}', user_id % 3, ['i', '31', '0.5'][event_id % 3 + 1], [12, 3, 7, 4][event_id % 4 + 1]),
           '{"model":"unknown","issue":"short note","frequency":1,"example":""}',
           printf('{"harness":"h%d","issue":"slow","severity":0.25}', user_id % 4),
           '{"tool_name":"candidate-capability","purpose":"a linter","estimated_value":0.5}',
@@ -438,6 +449,10 @@ SELECTS: dict[str, str] = {
         coalesce(try_cast(nullif(regexp_extract(estimated_time_saved, '[0-9.]+'), '') AS DOUBLE), 0.0) AS estimated_value,
         1 AS evidence_count, CASE WHEN len(existing_matches) > 0 THEN len(existing_matches) ELSE project_count END::BIGINT AS repositories,
         CASE WHEN len(existing_matches) > 0 THEN 'extend' ELSE 'generate' END AS decision FROM cands""",
+    "run_envelope_documents": """SELECT run_id, coalesce(part, 0)::INT AS part, to_json({'schema_version': 1, 'run': {'id': run_id,
+        'generated_at': strftime(last_ts, '%Y-%m-%dT%H:%M:%S.%fZ'), 'source': {'id': 'device-1', 'cli_version': '1.0'}, 'summary': 'kept ' || n,
+        'pipeline': {'raw_entries': n, 'normalized_entries': n, 'segments': s, 'estimated_input_tokens': t},
+        'opportunities': coalesce(os, [])}})::VARCHAR AS envelope FROM nested_heads LEFT JOIN nested_held USING (run_id)""",
     "backlog_export": """SELECT printf('dream-%03d', row_number() OVER (ORDER BY confidence DESC, id)) AS id, upper(priority) AS priority,
         'workflow-friction' AS category, name AS title, reason AS problem, round(round(confidence, 9), 2) AS confidence,
         round(round(mutation_fitness, 9), 2) AS mutation_fitness,

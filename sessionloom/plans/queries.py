@@ -567,6 +567,22 @@ def run_envelope(spark, sf_dir):
     return rounded(candidates.opportunities(_candidates(spark, sf_dir)), "estimated_value")
 
 
+@query
+def run_envelope_documents(spark, sf_dir):
+    """Candidates dealt to ten runs by number, and one run without any: whole JSON documents of three at most."""
+    rows = candidates.opportunities(_candidates(spark, sf_dir))
+    run_id = lambda number: F.concat(F.lit("run-"), number.cast("string")).alias("run_id")
+    owned = rounded(rows, "estimated_value").select("*", run_id(F.expr("cast(substring(id, 4) as int) % 10")))
+    count = F.count("*").cast("bigint")
+    clean = normalize.normalize(load(spark, sf_dir, "raw_entries"))
+    headers = clean.groupBy(run_id(F.expr("id % 11"))).agg(
+        F.max("ts").alias("generated_at"), F.concat(F.lit("kept "), count.cast("string")).alias("executive_summary"),
+        count.alias("raw_entries"), count.alias("normalized_entries"), F.count_distinct("user_id").alias("segments"),
+        F.sum(text.space_separated_words(F.col("content"))).cast("bigint").alias("estimated_input_tokens"),
+    )
+    return candidates.nested_envelopes(headers, owned, "device-1", "1.0", part=3)
+
+
 @query
 def backlog_export(spark, sf_dir):
     return candidates.backlog(_candidates(spark, sf_dir))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sessionloom.functions.text import trim_all  # noqa: F401  (readers take it from here)
+
 # Field names tried for content, in order.
 CONTENT_FIELDS = ("content", "message", "text", "body", "msg")
 TIME_FIELDS = ("timestamp", "ts")
@@ -16,11 +18,6 @@ LINE_STAMP = (
 )
 RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 NAIVE = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}$"
-EDGE_SPACE = r"(?U)^\s+|\s+$"
-
-
-def trim_all(text: Column) -> Column:
-    return F.regexp_replace(text, EDGE_SPACE, "")
 
 
 def strict_json(text: Column) -> Column:

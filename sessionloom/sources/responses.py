@@ -1,8 +1,8 @@
 """Parsing model responses into the eight finding tables.
 
 A response is accepted or rejected as a whole, so everything is decided row by
-row on the response's own JSON; exploding into findings is the only fan-out and
-there is no shuffle.
+row on the response's own JSON; exploding into findings is the only fan-out. Only
+(batch, row, count) is ordered, to number the findings.
 """
 
 from __future__ import annotations
@@ -48,9 +48,19 @@ NUMERIC_VALUE = (
     r"""\s*:\s*(?:"([^"]*)"|'([^'"]*)'|(?!')([^,}\n"\\]+)[^,}\n]*)"""
 )
 LENIENT = {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true", "allowComments": "true"}
-# A string literal, which is kept, or a comma with nothing but space before a closing bracket.
-TRAILING_COMMA = (
-    r"""(?s)("(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+')|,(\s*[}\]])"""
+_LITERAL = r'"(?:[^"\\]++|\\.)*+"|\'(?:[^\'\\]++|\\.)*+\''
+_WHOLE_LITERAL = _LITERAL.replace(".)", r"[^\n\r\u2028\u2029])")  # on one line
+_COMMENT = r"//[^\n\r]*+|/\*.*?\*/"
+_STRICT_NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?(?![\w$.])"
+# Stretches that strict JSON has as well (bounded, because the matcher recurses); literals that go
+# over a line; a comma with nothing but space before a closing bracket; names that look like
+# numbers; numbers in any form; anything else.
+TOKEN = (
+    rf"(?s)((?:{_WHOLE_LITERAL}|{_COMMENT}|,(?!\s*[}}\]])|{_STRICT_NUMBER}|(?!Infinity\b|NaN\b)[A-Za-z_$][\w$]*+"
+    r"""|[^\w$"'/,+.\-]){1,100}+"""
+    rf"|{_LITERAL}|,\s*[}}\]]|(?:Infinity|NaN)\s*:"
+    r"|[+-]?(?:0[xX][0-9A-Fa-f]+|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|Infinity|NaN)(?![\w$.])"
+    r"|[\w$]+|.)"
 )
 
 
@@ -64,15 +74,42 @@ def quote_numbers(text: Column) -> Column:
     return F.regexp_replace(text, NUMERIC_VALUE, '"$1$2":"$3$4$5"')
 
 
-def without_trailing_commas(text: Column) -> Column:
-    return F.regexp_replace(text, TRAILING_COMMA, "$1$2")
+def _as_strict(token: Column) -> Column:
+    """One token as strict JSON has it."""
+    # A line continued inside a literal: pairs before it are passed over, as \\\\ ends first.
+    joined = F.regexp_replace(token, r"(?s)(\\[^\n\r\u2028\u2029])|\\(?:\r\n|[\n\r\u2028\u2029])", "$1")
+    sign = F.when(token.startswith("-"), "-").otherwise("")
+    hexadecimal = F.concat(sign, F.conv(F.regexp_extract(token, "^[+-]?0[xX](.*)$", 1), 16, 10))
+    led = F.regexp_replace(F.regexp_replace(token, r"^\+", ""), r"^(-?)\.", "$10.")
+    number = (
+        F.when(token.rlike(r"^,\s*[}\]]$"), F.regexp_replace(token, "^,", ""))
+        .when(token.rlike("^[+-]?(Infinity|NaN)$"), F.lit("null"))
+        .when(token.rlike("^[+-]?0[xX][0-9A-Fa-f]+$"), hexadecimal)
+        .when(token.rlike(r"^[+-]?[.0-9][0-9.eE+-]*$") & (token != "."), F.regexp_replace(led, r"\.(?![0-9])", ".0"))
+        .otherwise(token)
+    )
+    return (
+        F.when(token.rlike("^[-+.0-9IN,]"), number)
+        .when(token.rlike(r"\\[\n\r\u2028\u2029]"), joined)
+        .otherwise(token)
+    )
+
+
+def as_strict_json(text: Column) -> Column:
+    """Forms of JSON5 that Spark's parser lacks, rewritten token by token; literals keep their text.
+
+    Signs before numbers, points without digits on one side, hexadecimal numbers, lines
+    continued in literals and commas before a closing bracket. Infinity and NaN have no
+    JSON number and become null.
+    """
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), 1), _as_strict), "")
 
 
 def parse_object(text: Column) -> Column:
-    """The response's JSON object; commas before a closing bracket are forgiven."""
+    """The response's JSON object; forms of JSON5 are forgiven."""
     quoted = quote_numbers(json_object_text(text))
     strict = F.from_json(quoted, "variant", LENIENT)
-    return F.coalesce(strict, F.from_json(without_trailing_commas(quoted), "variant", LENIENT))
+    return F.coalesce(strict, F.from_json(as_strict_json(quoted), "variant", LENIENT))
 
 
 # A JSON value is carried as a struct of the variant and its type name, so the
@@ -165,19 +202,26 @@ def parse(responses: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
         _items(F.try_variant_get("_object", f"$.{kind}", "array<variant>"), fields).alias(kind)
         for kind, fields in KINDS.items()
     ]
-    # Nine tables read the result; writing it parses each response once.
-    needed = F.greatest(*[F.coalesce(F.size(kind), F.lit(0)) for kind in KINDS])
-    parsed = parsed.select("batch_no", "text", F.monotonically_increasing_id().alias("_row"), *findings)
-    parsed = cut_lineage(parsed.withColumn("_needed", needed.cast("bigint")))
-    placed = ordered.place(parsed.select("batch_no", "_row", "_needed"), ["batch_no", "_row"])
-    numbered = ordered.running_sums(placed, {"_upto": F.col("_needed")})
-    starts = numbered.select("_row", (F.col("_upto") - F.col("_needed")).alias("_start"))
-    parsed = parsed.join(starts, "_row")
     accepted = F.lit(True)
     for kind in KINDS:
         accepted = accepted & F.coalesce(F.forall(kind, lambda x: x.isNotNull()), F.lit(False))
+    needed = F.greatest(*[F.coalesce(F.size(kind), F.lit(0)) for kind in KINDS]).cast("bigint")
+    parsed = parsed.select("batch_no", "text", F.monotonically_increasing_id().alias("_row"), *findings)
+    # Nine tables read the result; writing it parses each response once. A rejected one
+    # keeps its text, an accepted one its findings.
+    parsed = cut_lineage(
+        parsed.select(
+            "batch_no", "_row", needed.alias("_needed"), accepted.alias("_accepted"),
+            F.when(~accepted, F.col("text")).alias("text"), *[F.when(accepted, F.col(k)).alias(k) for k in KINDS],
+        )
+    )
+    placed = ordered.place(parsed.select("batch_no", "_row", "_needed"), ["batch_no", "_row"])
+    numbered = ordered.running_sums(placed, {"_upto": F.col("_needed")})
+    # Written: its size is known, so it is broadcast while it is small, and no finding moves.
+    starts = cut_lineage(numbered.select("_row", (F.col("_upto") - F.col("_needed")).alias("_start")))
     tables = {}
     for kind in KINDS:
-        exploded = parsed.where(accepted).select("batch_no", "_start", F.posexplode(kind).alias("_pos", "_f"))
+        own = parsed.where(F.col("_accepted") & (F.size(kind) > 0)).select("batch_no", "_row", kind).join(starts, "_row")
+        exploded = own.select("batch_no", "_start", F.posexplode(kind).alias("_pos", "_f"))
         tables[kind] = exploded.select("batch_no", (F.col("_start") + F.col("_pos")).alias("ord"), "_f.*")
-    return tables, parsed.where(~accepted).select("batch_no", "text")
+    return tables, parsed.where(~F.col("_accepted")).select("batch_no", "text")

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from sessionloom.operators import candidates, findings, patterns, registry, report, steering
 from sessionloom.sources.responses import KINDS
 
+START = dt.datetime(2026, 1, 1)
 TYPES = {"text": "string", "number": "double", "count": "bigint", "list": "array<string>"}
 
 
@@ -152,3 +154,23 @@ def test_model_weaknesses_and_their_items(spark):
     assert [tuple(r) for r in report.model_weaknesses(df).collect()] == [("m", 5)]
     got = sorted(tuple(r) for r in report.model_weakness_items(df).collect())
     assert got == [("m", i + 1, f"d{i}") for i in range(5)]
+
+
+def test_nested_envelopes_hold_every_opportunity_once(spark):
+    columns = "run_id string, id string, title string, summary string, priority string, confidence int, estimated_value double, evidence_count int, repositories long, decision string"
+    rows = [(run, f"DS-{k:04d}", "t", "s", "high", 50, 2.0, 1, 3, "extend") for run, n in (("a", 5), ("b", 2)) for k in range(n)]
+    runs = spark.createDataFrame(
+        [(r, START, "sum", 1, 2, 3, 4) for r in ("a", "b", "c")],
+        "run_id string, generated_at timestamp, executive_summary string, raw_entries long, normalized_entries long, segments long, estimated_input_tokens long",
+    )
+    got = candidates.nested_envelopes(runs, spark.createDataFrame(rows, columns), "d", "1.0", part=2).collect()
+    held = {(r.run_id, r.part): [o["id"] for o in json.loads(r.envelope)["run"]["opportunities"]] for r in got}
+    assert held == {
+        ("a", 0): ["DS-0000", "DS-0001"], ("a", 1): ["DS-0002", "DS-0003"], ("a", 2): ["DS-0004"], ("b", 0): ["DS-0000", "DS-0001"], ("c", 0): []
+    }
+    document = json.loads(next(r.envelope for r in got if r.run_id == "b"))
+    assert document["schema_version"] == 1 and document["run"]["source"] == {"id": "d", "cli_version": "1.0"}
+    assert document["run"]["opportunities"][0] == {
+        "id": "DS-0000", "title": "t", "summary": "s", "priority": "high", "confidence": 50, "estimated_hours": 2.0, "evidence_count": 1,
+        "repositories": 3, "decision": "extend",
+    }

@@ -278,6 +278,28 @@ def test_trailing_commas_are_forgiven_outside_strings(spark):
     assert 3 in {r.batch_no for r in rejected.collect()}
 
 
+@pytest.mark.parametrize(
+    "written, strict",
+    [
+        ("{a:+5}", "{a:5}"), ("[.5,-.25,+.5e-3]", "[0.5,-0.25,0.5e-3]"), ("[5.,-7.]", "[5.0,-7.0]"), ("[0x1F,-0Xff,+0x0]", "[31,-255,0]"),
+        ("[Infinity,-Infinity,NaN,+NaN]", "[null,null,null,null]"), ('"a\\\nb"', '"ab"'), ("'a\\\r\nb'", "'ab'"), ('"a\\\\\nb"', '"a\\\\\nb"'),
+        ('["+.5 0x1F, ] NaN"," .5 "]', '["+.5 0x1F, ] NaN"," .5 "]'), ("{Infinity:1,NaN :2,x5:3,$_e1:4}", "{Infinity:1,NaN :2,x5:3,$_e1:4}"),
+        ("[1,2,]", "[1,2]"), ("{a:[1 , ] , }", "{a:[1  ]  }"), ("[1.5,-2,3e5,1E+2,0]", "[1.5,-2,3e5,1E+2,0]"), ("[1 /* .5, ] */ ,2]", "[1 /* .5, ] */ ,2]"),
+        ("[1,// +5 ]\n2]", "[1,// +5 ]\n2]"), ("['it\\'s .5',.5]", "['it\\'s .5',0.5]"), ("[a.b,1.2.3]", "[a.b,1.2.3]"),
+    ],
+)
+def test_forms_of_json5(spark, written, strict):
+    df = spark.createDataFrame([(written,)], "x string")
+    assert df.select(responses.as_strict_json(F.col("x"))).first()[0] == strict
+
+
+def test_json5_responses_are_accepted_whole(spark):
+    item = "{model:'m', issue:0x1F, frequency:3, example:'+.5 \\\n0x1F, ]', extra:-Infinity,}"
+    tables, rejected = responses.parse(spark.createDataFrame([(1, response(model_failures=f"[{item}]") + "}")], "batch_no long, text string"))
+    assert rejected.count() == 0
+    assert [tuple(r)[2:] for r in tables["model_failures"].collect()] == [("m", "31", 3, "+.5 0x1F, ]")]
+
+
 def test_finding_numbers_never_collide(spark):
     rows = [(2**44, response(missing_tooling='["a","b"]') + "}"), (0, response(missing_tooling='["c","d","e"]') + "}"), (-5, response(missing_tooling='["f"]') + "}")]
     tables, _ = responses.parse(spark.createDataFrame(rows, "batch_no long, text string"))
