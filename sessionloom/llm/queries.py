@@ -88,9 +88,8 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The later rows: where 3 divides the checksum of doc_id, the text's A-Z are lower-cased."""
-    capitals, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
-    later = F.when(touched, F.translate("text", capitals, small)).otherwise(F.col("text"))
+    later = F.when(touched, F.translate("text", _UPPER, _LOWER)).otherwise(F.col("text"))
     return merkle.prove(_table(spark, sf_dir, "documents"), now={"text": later})
 
 
@@ -118,6 +117,64 @@ QUERIES = {
     )
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ("doc_id", "source", "lang", "n_chars", text)
+    counted = [f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen(CAST({f} AS VARCHAR)) || ':' || {f} END" for f in fields]
+    return f"sha256({' || '.join(counted)})"
+
+
+def _levels_sql(name: str, start: str, levels: int) -> str:
+    """Views of a forest: ``name``_k has each node of level k with its siblings and its tree's size there."""
+    views, nodes = [], start
+    for k in range(levels):
+        run = "PARTITION BY tree, idx // 8 ORDER BY idx ROWS BETWEEN"
+        views.append(f"""{name}_{k} AS (
+            SELECT *, count(*) OVER (PARTITION BY tree) AS size,
+                   coalesce(string_agg(digest, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+                   coalesce(string_agg(digest, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+            FROM ({nodes}))""")
+        nodes = f"""SELECT tree, idx // 8 AS idx, CASE WHEN any_value(size) > 1 THEN sha256(string_agg(digest, '' ORDER BY idx))
+            ELSE any_value(digest) END AS digest FROM {name}_{k} GROUP BY tree, idx // 8"""
+    return ", ".join([*views, f"{name}_top AS ({nodes})"])
+
+
+def _walk_sql(name: str, rows: str, levels: int) -> str:
+    """``rows`` (tree, idx, folded, proof) after every level of ``name``."""
+    for k in range(levels):
+        rows = f"""SELECT w.* REPLACE (w.idx // 8 AS idx,
+            CASE WHEN size > 1 THEN sha256(before || folded || after) ELSE folded END AS folded,
+            CASE WHEN size > 1 THEN proof || before || after ELSE proof END AS proof)
+            FROM ({rows}) w JOIN {name}_{k} n ON n.tree = w.tree AND n.idx = w.idx"""
+    return rows
+
+
+def _manifest_sql(levels: int = 8, lang_levels: int = 4) -> str:
+    lowered = f"translate(text, '{_UPPER}', '{_LOWER}')"
+    bits = "list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    codes = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, x: xor(c >> 8, crcs.t[(xor(c, x) & 255) + 1])), 4294967295)"
+    up = _walk_sql("leafs", "SELECT doc_id, tree, idx, leaf, later AS folded, '' AS proof FROM placed", levels)
+    joined = "SELECT doc_id, s.tree, s.idx, leaf, s.digest AS subroot, folded, proof FROM up u JOIN subroots s ON s.lang_tree = u.tree"
+    return f"""
+        WITH crcs AS (SELECT list({bits} ORDER BY b) AS t FROM (SELECT CAST(range AS BIGINT) AS b FROM range(256))),
+        leaves AS (
+            SELECT doc_id, coalesce('+' || lang, '') AS tree, {_leaf_sql("text")} AS leaf,
+                   CASE WHEN coalesce({crc} % 3 = 0, false) THEN {_leaf_sql(lowered)} ELSE {_leaf_sql("text")} END AS later
+            FROM documents, crcs),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM leaves),
+        {_levels_sql("leafs", "SELECT tree, idx, leaf AS digest FROM placed", levels)},
+        subroots AS (SELECT tree AS lang_tree, 0 AS tree, row_number() OVER (ORDER BY tree) - 1 AS idx, digest FROM leafs_top),
+        {_levels_sql("langs", "SELECT tree, idx, digest FROM subroots", lang_levels)},
+        up AS ({up}),
+        over_all AS ({_walk_sql("langs", joined, lang_levels)})
+        SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = digest AS verified
+        FROM over_all, langs_top
+    """
+
+
 _REST = "CASE WHEN instr(url, '://') > 0 THEN regexp_extract(url, '(?s)^.*?://(.*)$', 1) ELSE '' END"
 ORACLE = {
     "op6_url_filter": f"""
@@ -159,6 +216,7 @@ ORACLE = {
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
     """,
+    "op11_manifest": _manifest_sql(),
     "op12_source_divergence": """
         WITH docs AS (
             SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,

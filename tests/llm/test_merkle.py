@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.llm import merkle
-from sessionloom.llm.queries import QUERIES
+from checking import database
+from sessionloom.llm.queries import ORACLE, QUERIES
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
@@ -123,3 +124,16 @@ def test_query_against_the_plain_tree(spark):
     rows = [r.asDict() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     got = [tuple(r) for r in QUERIES["op11_manifest"](spark, folder).collect()]
     assert sorted(got, key=str) == plain_manifest(rows, lowered)
+
+
+def test_sql_gives_the_plain_tree(spark):
+    """The checking SQL on the sample and on trees of one, nine and many leaves."""
+    db = database("/root/testdata/sf0.001")
+    rows = [r.asDict() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    assert sorted(db.execute(ORACLE["op11_manifest"]).fetchall(), key=str) == plain_manifest(rows, lowered)
+    odd = [(k, "s", None if k < 1 else "a" if k < 10 else "b", k, None if k == 3 else f"Text {k} Ü") for k in range(600)]
+    db.execute("CREATE TABLE odd (doc_id BIGINT, source VARCHAR, lang VARCHAR, n_chars BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO odd VALUES (?, ?, ?, ?, ?)", odd)
+    db.execute("CREATE OR REPLACE VIEW documents AS SELECT * FROM odd")
+    named = [dict(zip(("doc_id", "source", "lang", "n_chars", "text"), r)) for r in odd]
+    assert sorted(db.execute(ORACLE["op11_manifest"]).fetchall(), key=str) == plain_manifest(named, lowered)
