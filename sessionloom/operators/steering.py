@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.scores import mapped
 from sessionloom.functions.text import computed_once
+from sessionloom.operators import ordered
 
 # Categories in priority order with their phrases, matched on lowercase text.
 PHRASES = {
@@ -89,6 +90,9 @@ OPENERS = ("hi", "hello", "hey", "hello!", "hi!", "hey!", "good morning", "good
 
 CATEGORY_ORDER = {name: i for i, name in enumerate(SEVERITY)}
 
+if not set(NEEDED_WORDS) <= {phrase for phrases in PHRASES.values() for phrase in phrases}:
+    raise ValueError("a phrase with needed words is no phrase of any category")
+
 
 def is_opener(text: Column) -> Column:
     """Whether a lowercase text is nothing but a greeting."""
@@ -128,6 +132,12 @@ def detect(entries: DataFrame) -> DataFrame:
     )
 
 
+def by_time(events: DataFrame) -> DataFrame:
+    """Events with ``position``, their number in time order; equal instants keep entry order."""
+    placed = ordered.place(events, ["ts", "entry_id"])
+    return ordered.row_number(placed, "position").drop(ordered.BLOCK, ordered.PLACE)
+
+
 def clusters(events: DataFrame) -> DataFrame:
     """Category totals with at least two events (at most eight rows)."""
     count = F.col("events")

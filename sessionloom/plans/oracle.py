@@ -392,6 +392,7 @@ SELECTS: dict[str, str] = {
     "batch_weight": """SELECT CASE WHEN length(text) / 48000.0 < 0.5 THEN 'Light' ELSE 'Heavy' END AS weight, count(*) AS batches
         FROM documents GROUP BY 1""",
     "steering_events": "SELECT entry_id, ts, category, description, context, severity FROM steered",
+    "steering_timeline": "SELECT row_number() OVER (ORDER BY ts, entry_id) AS position, entry_id, ts, category FROM steered",
     "steering_clusters": "SELECT * REPLACE (round(avg_severity, 6) AS avg_severity, round(confidence, 6) AS confidence) FROM clusters",
     "steering_per_segment": """SELECT r.user_id, segment_no, count(*) AS events, round(max(severity), 6) AS worst
         FROM steered JOIN r_seg r ON r.id = entry_id GROUP BY r.user_id, segment_no""",

@@ -391,6 +391,13 @@ def steering_events(spark, sf_dir):
     )
 
 
+@query
+def steering_timeline(spark, sf_dir):
+    """Events in time order, each with its place."""
+    events = steering.by_time(stages.steering_events(spark, sf_dir).select("entry_id", "ts", "category"))
+    return events.orderBy("position").select("position", "entry_id", "ts", "category")
+
+
 @query
 def steering_clusters(spark, sf_dir):
     clustered = steering.clusters(stages.steering_events(spark, sf_dir))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionloom.schema import ENTRY_COLUMNS, ENTRY_ORDER
-from sessionloom.functions.text import computed_once
+from sessionloom.functions.text import computed_once, trim_all
 from sessionloom.session import cut_lineage
 from sessionloom.sources import jsonsplits, records
 
@@ -59,7 +59,7 @@ def _lines(spark: SparkSession, paths) -> DataFrame:
     )
 
 
-def _as_path(address: str) -> str:
+def as_path(address: str) -> str:
     """A file's address as a path for a reader: unescaped, and free of wildcards."""
     return re.sub(r"([*?\[\]{}\\])", r"\\\1", unquote(address))
 
@@ -88,7 +88,7 @@ def _judged(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _text_entries(spark: SparkSession, harness: Harness, markdown: bool) -> tuple[DataFrame, DataFrame]:
-    trimmed = _lines(spark, harness.path).withColumn("_text", records.trim_all(F.col("value")))
+    trimmed = _lines(spark, harness.path).withColumn("_text", trim_all(F.col("value")))
     wanted = F.col("_text") != ""
     if markdown:
         wanted = wanted & ~F.col("_text").startswith("#")
@@ -100,7 +100,7 @@ def _text_entries(spark: SparkSession, harness: Harness, markdown: bool) -> tupl
 
 
 def _json_line_entries(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    filled = lines.where(records.trim_all(F.col("value")) != "").select(
+    filled = lines.where(trim_all(F.col("value")) != "").select(
         "*", computed_once(records.strict_json(F.col("value"))).alias("_record")
     )
     good = F.col("_record").isNotNull()
@@ -154,11 +154,11 @@ def _json_entries(spark: SparkSession, harness: Harness) -> tuple[DataFrame, Dat
     lines = _lines(spark, harness.path)
     if harness.layout == "lines":
         return _json_line_entries(lines)
-    first = lines.where(records.trim_all(F.col("value")) != "").groupBy("source_path").agg(
-        F.min_by(F.left(records.trim_all(F.col("value")), F.lit(1)), "_key").alias("head")
+    first = lines.where(trim_all(F.col("value")) != "").groupBy("source_path").agg(
+        F.min_by(F.left(trim_all(F.col("value")), F.lit(1)), "_key").alias("head")
     )
     # File names only, the same list Spark's own file index keeps on the driver.
-    bracketed = [_as_path(row.source_path) for row in first.where(F.col("head") == "[").toLocalIterator()]
+    bracketed = [as_path(row.source_path) for row in first.where(F.col("head") == "[").toLocalIterator()]
     if not bracketed:
         return _json_line_entries(lines)
     array_rows, array_status = _json_array_entries(spark, bracketed)

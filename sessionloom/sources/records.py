@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sessionloom.functions.text import trim_all  # noqa: F401  (readers take it from here)
-
 # Field names tried for content, in order.
 CONTENT_FIELDS = ("content", "message", "text", "body", "msg")
 TIME_FIELDS = ("timestamp", "ts")
+# Fixed value: larger whole numbers are milliseconds, others seconds.
 MILLIS_ABOVE = 1_000_000_000_000
 # Fixed value: the stamp that may lead a line. With (?d) only \n ends a line, so a
 # carriage return or a Unicode line separator belongs to the text.

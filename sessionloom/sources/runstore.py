@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionloom.schema import RUN_HEADER
+from sessionloom.session import cut_lineage
+from sessionloom.sources.files import as_path
 
 
 def _replace_partitions(rows: DataFrame, *keys: str):
@@ -67,18 +70,48 @@ def classify_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     lines = _forgiving(spark).text(folders).select(F.col("_metadata.file_path").alias("source_path"))
     read = lines.groupBy("source_path").agg(F.count("*").alias("_lines"))
     runs, _ = read_run_documents(spark, folders)
-    joined = _listed(spark, folders).join(read, "source_path", "left").join(
+    joined = _listed(spark, folders).drop("modified").join(read, "source_path", "left").join(
         runs.select("source_path", F.lit(True).alias("_run")), "source_path", "left"
     )
     readable = F.col("_lines").isNotNull() | (F.col("length") == 0)
     return joined.select("source_path", readable.alias("readable"), F.coalesce("_run", F.lit(False)).alias("is_run"))
 
 
+LEDGER = "source_path string, length bigint, modified timestamp, readable boolean, is_run boolean"
+
+
+def sync(spark: SparkSession, folders: list[str], ledger: str) -> tuple[DataFrame, int]:
+    """(verdict on every file there is now, files read for it), with a ledger of earlier verdicts.
+
+    The ledger is a table of (path, length, modified, verdict) that only grows. A file
+    is read when it has no entry for its present length and time of change, and its
+    verdict is recorded even if it could not be read; a file that is gone has none.
+    """
+    key = ["source_path", "length", "modified"]
+    try:
+        entries = spark.read.schema(LEDGER).parquet(ledger)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        entries = spark.createDataFrame([], LEDGER)
+    listed = cut_lineage(_listed(spark, sorted(set(folders))))
+    unknown = cut_lineage(listed.join(entries, key, "left_anti"))
+    # File names only, as Spark's own file index keeps them on the driver.
+    paths = [as_path(row.source_path) for row in unknown.select("source_path").toLocalIterator()]
+    if paths:
+        verdicts = classify_files(spark, paths)
+        unknown.join(verdicts, "source_path").select(*key, "readable", "is_run").write.mode("append").parquet(ledger)
+        entries = spark.read.schema(LEDGER).parquet(ledger)
+    return listed.join(entries, key).select("source_path", "readable", "is_run"), len(paths)
+
+
 def _listed(spark: SparkSession, folders: str | list[str], names: str = "*.json") -> DataFrame:
-    """(source_path, length) of the files; contents are not read."""
+    """(source_path, length, modified) of the files; contents are not read."""
     named = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names)
     # Named as other readers name them: characters that an address escapes are escaped here too.
-    return named.format("binaryFile").load(folders).select(F.col("_metadata.file_path").alias("source_path"), "length")
+    return named.format("binaryFile").load(folders).select(
+        F.col("_metadata.file_path").alias("source_path"), "length", F.col("modificationTime").alias("modified")
+    )
 
 
 def _forgiving(spark: SparkSession, names: str = "*.json"):

@@ -236,6 +236,30 @@ def test_run_documents(spark, tmp_path):
     assert sorted(r.source_path.split("/")[-1] for r in unreadable.collect()) == ["broken.json", "failing.json", "other.json"]
 
 
+def test_sync_reads_only_what_changed(spark, tmp_path):
+    folder, ledger = str(tmp_path / "in"), str(tmp_path / "ledger")
+
+    def state():
+        verdicts, read = runstore.sync(spark, [folder, folder], ledger)
+        return {r.source_path.split("/")[-1]: (r.readable, r.is_run) for r in verdicts.collect()}, read
+
+    run = {"id": "r", "generated_at": "2026-01-01T00:00:00Z", "date": "2026-01-01", "executive_summary": "s", "candidate_tools": []}
+    write(tmp_path, "in/a.json", json.dumps(run))
+    write(tmp_path, "in/b c.json", '{"other":1}')
+    write(tmp_path, "in/broken.json", json.dumps(run))
+    write(tmp_path, "in/.broken.json.crc", b"crc\x00\x00\x00\x02\x00\x12\x34\x56\x78")
+    expected = {"a.json": (True, True), "b%20c.json": (True, False), "broken.json": (False, False)}
+    assert state() == (expected, 3)
+    assert state() == (expected, 0)  # nothing changed, nothing is read
+    write(tmp_path, "in/b c.json", json.dumps(run))
+    write(tmp_path, "in/new.json", json.dumps(run))
+    (tmp_path / "in/a.json").unlink()
+    changed = {"b%20c.json": (True, True), "broken.json": (False, False), "new.json": (True, True)}
+    assert state() == (changed, 2)
+    status = runs.sync_summary(runstore.sync(spark, [folder], ledger)[0]).collect()
+    assert {r.status: r.files for r in status} == {"uploaded": 2, "failed": 1}
+
+
 def test_backlog_and_report_sinks(spark, tmp_path):
     backlog = spark.createDataFrame([("dream-001", "HIGH")], "id string, priority string")
     for run in ("r1", "r2", "r2"):
