@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.text import WORD_BREAK
+from sessionloom.session import cut_lineage, widen
 
 GRAM = 4
 MAX_MATCHES = 5
@@ -46,16 +47,21 @@ def matches(names: DataFrame, registry: DataFrame) -> DataFrame:
 
     ``registry`` has ``tool`` and ``searchable`` (lowercase) columns.
     """
-    runs = registry.select("tool", F.explode(F.array_distinct(F.split("searchable", WORD_BREAK))).alias("run"))
+    runs = widen(registry).select("tool", F.explode(F.array_distinct(F.split("searchable", WORD_BREAK))).alias("run"))
+    # The first tools of a keyword are among the first tools of the runs that hold it, so no more of a run's
+    # tools are moved; Spark applies the limit before the shuffle. Equal rows of one tool share a place.
+    by_tool = F.dense_rank().over(Window.partitionBy("run").orderBy("tool"))
+    listed = runs.where(F.octet_length("run") >= 4).withColumn("_place", by_tool).where(F.col("_place") <= MAX_MATCHES)
+    listed = cut_lineage(listed.select("run", "tool").distinct())
     wanted = names.select("name", F.explode(keywords(F.col("name"))).alias("keyword")).distinct()
-    probes = runs.where(F.octet_length("run") >= 4).select("run").distinct().select(
+    probes = listed.select("run").distinct().select(
         "run", F.explode(_probe_grams(F.col("run"))).alias("gram")
     )
     heads = wanted.select("keyword", F.left("keyword", F.lit(GRAM)).alias("gram")).distinct()
     hits = (
         probes.join(heads, "gram").where(F.contains("run", "keyword")).select("run", "keyword").distinct()
     )
-    pairs = runs.join(hits, "run").select("tool", "keyword").distinct()
+    pairs = listed.join(hits, "run").select("tool", "keyword").distinct()
     # The first tools of a name are among the first tools of its keywords.
     place = F.row_number().over(Window.partitionBy("keyword").orderBy("tool"))
     first = pairs.withColumn("_place", place).where(F.col("_place") <= MAX_MATCHES).select("tool", "keyword")

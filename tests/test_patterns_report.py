@@ -174,3 +174,13 @@ def test_nested_envelopes_hold_every_opportunity_once(spark):
         "id": "DS-0000", "title": "t", "summary": "s", "priority": "high", "confidence": 50, "estimated_hours": 2.0, "evidence_count": 1,
         "repositories": 3, "decision": "extend",
     }
+
+
+def test_matches_move_a_bounded_part_of_the_registry(spark, tmp_path):
+    tools = [(f"t{n % 40:02}", f"common notes w{n % 7}word") for n in range(400)]
+    spark.createDataFrame(tools, "tool string, searchable string").write.parquet(f"{tmp_path}/registry")
+    names = spark.createDataFrame([("a-common",), ("b-w3word-omm",), ("c-mmon",), ("d-absent",)], "name string")
+    got = registry.matches(names, spark.read.parquet(f"{tmp_path}/registry"))
+    assert not any(str(tmp_path) in file for file in got.inputFiles())
+    first = [f"t{n:02}" for n in range(5)]
+    assert {r.name: r.existing_matches for r in got.collect()} == {"a-common": first, "b-w3word-omm": first, "c-mmon": first}
