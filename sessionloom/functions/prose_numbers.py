@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sessionloom.functions.scores import mapped
-from sessionloom.functions.text import trim_all
+from sessionloom.functions.text import bound, trim_all
 
 # Number words that are understood.
 NUMBER_WORDS = {
@@ -18,19 +18,23 @@ NUMBER_WORDS = {
 }
 
 PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"
+EXACT_NUMBER = PLAIN_NUMBER.replace("^", r"\A").replace("$", r"\z")
 NON_FINITE = r"^[+-]?(inf|infinity|nan)$"
 
 
 def parse_number(text: Column) -> Column:
     """A float, else the first digit run, else a leading number word, else NULL."""
     cleaned = F.regexp_replace(F.lower(trim_all(text)), r"(-plus)+$", "")
-    run = F.regexp_extract(cleaned, r"[0-9.]+", 0)
-    word = F.regexp_extract(cleaned, r"[a-z]+", 0)
-    return F.coalesce(
-        F.when(cleaned.rlike(PLAIN_NUMBER) | cleaned.rlike(NON_FINITE), cleaned.try_cast("double")),
-        F.when(run.rlike(PLAIN_NUMBER), run.try_cast("double")),
-        mapped(word, NUMBER_WORDS),
-    )
+
+    def read(cleaned: Column) -> Column:
+        run = F.regexp_extract(cleaned, r"[0-9.]+", 0)
+        return F.coalesce(
+            F.when(cleaned.rlike(PLAIN_NUMBER) | cleaned.rlike(NON_FINITE), cleaned.try_cast("double")),
+            bound(run, lambda run: F.when(run.rlike(PLAIN_NUMBER), run.try_cast("double"))),
+            mapped(F.regexp_extract(cleaned, r"[a-z]+", 0), NUMBER_WORDS),
+        )
+
+    return F.when(text.rlike(EXACT_NUMBER), text.try_cast("double")).otherwise(bound(cleaned, read))
 
 
 def first_number(label: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +63,11 @@ def computed_once(value: Column) -> Column:
     return F.explode_outer(F.array(value))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it; works inside lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def jaccard(left: Column, right: Column) -> Column:
     """Shared share of two word sets; 0 when either is empty."""
     shared = F.size(F.array_intersect(left, right))

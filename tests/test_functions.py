@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import prose_numbers, redact, scores, text
 from sessionloom.operators.normalize import normalize_content
+from sessionloom.sources import responses
 
 
 def values(spark, rows, schema, *columns):
@@ -116,3 +117,13 @@ def test_trend_direction_and_bars(spark):
     assert [g[0] for g in got] == ["Increasing", "Stable", "Decreasing"]
     assert got[0][1] == " Current    7.00  " + "█" * 20 + "\nPrevious    0.00  "
     assert got[2][1] == " Current    1.00  █\nPrevious   20.00  " + "█" * 20
+
+
+def test_repeated_values_are_worked_out_once(spark):
+    df = spark.createDataFrame([("12-plus",), ("1e3",), (" Seven times",), ("about .5",), ("5\u0085",), ("nan",), (None,)], "x string")
+    number = prose_numbers.parse_number(F.col("x"))
+    assert str(number).count("lower") == 1
+    got = [r[0] for r in df.select(number).collect()]
+    assert got[:5] == [12.0, 1000.0, 7.0, 0.5, 5.0] and got[5] != got[5] and got[6] is None
+    value = responses.parse_object(F.col("x"))
+    assert str(value).count("nullif") == 1
