@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.text import each_word, tokens, word_set
 from sessionloom.operators.lookups import join_by_key
+from sessionloom.session import cut_lineage
+
+HOT_TERMS = 100_000  # a term and its count, some 10 MB to broadcast
 
 
 def term_frequency(docs: DataFrame, ids: Sequence[str], text: str = "content") -> DataFrame:
@@ -44,10 +47,11 @@ def weights(
 ) -> DataFrame:
     """(ids, term, weight) with idf = ln(n/df + 1) over ``corpus`` (default: ``docs``)."""
     corpus = docs if corpus is None else corpus
-    frequency = term_frequency(docs, ids, text)
-    joined = join_by_key(
-        frequency, document_frequency(corpus, text), ["term"], "df", F.struct(*ids)
-    )
+    # Texts move once, by their ids, instead of their words; then only words too rare to broadcast move.
+    placed = docs.select(*ids, text).repartition(*ids)
+    frequency = cut_lineage(term_frequency(placed, ids, text).select(*ids, "term", "tf"))
+    terms = document_frequency(corpus, text)
+    joined = join_by_key(frequency, terms, ["term"], "df", F.struct(*ids), max_hot=HOT_TERMS, stored=True)
     n = corpus.agg(F.count("*")).scalar()
     return joined.select(
         *ids, "term", (F.col("tf") * F.log(n / F.col("df") + 1.0)).alias("weight")

@@ -58,3 +58,11 @@ def test_join_by_key_keeps_unmatched_rows(spark):
     table = spark.createDataFrame([("a", 1, "x")], "k string, n long, val string")
     got = {r.id: r.val for r in join_by_key(rows, table, ["k"], "n", F.col("id")).collect()}
     assert got == {1: "x", 2: None}
+
+
+def test_stored_rows_join_as_others_do(spark):
+    rows = spark.createDataFrame([(k, n) for k in range(9) for n in range(1 + 30 * (k < 2))], "k int, n int").cache()
+    table = rows.where("k < 7").groupBy("k").count()
+    found = [join_by_key(rows, table, ["k"], "count", rows["n"], max_hot=6, stored=stored) for stored in (False, True)]
+    moved, kept = [sorted(df.collect(), key=str) for df in found]
+    assert moved == kept and len(kept) == rows.count() and {r["count"] for r in kept} == {31, 1, None}
