@@ -32,9 +32,16 @@ FILE, SPLIT = "source_path", "split"
 
 
 def _depth_change(text: Column) -> Column:
-    """Opening less closing brackets of text outside strings."""
-    without = lambda brackets: F.length(F.translate(text, brackets, ""))
-    return without("]}") - without("[{")
+    """Opening less closing brackets of text outside strings; braces that close end a fragment, none has one."""
+    without = lambda bracket: F.octet_length(F.replace(text, F.lit(bracket), F.lit("")))
+    return F.octet_length(text) + without("]") - without("[") - without("{")
+
+
+def _unescaped(text: Column) -> Column:
+    """Without escaped quotes: pairs of backslashes go first, so one that is left escapes what follows."""
+    for escape in ("\\\\", '\\"'):
+        text = F.replace(text, F.lit(escape), F.lit(""))
+    return text
 
 
 def _every_other(parts: Column, first: int) -> Column:
@@ -49,7 +56,7 @@ def fragments(spark: SparkSession, paths, keep: Column) -> DataFrame:
         meta["file_path"].alias(FILE), meta["file_block_start"].alias(SPLIT), meta["file_size"].alias("size"),
         meta["file_modification_time"].alias("mtime"), F.monotonically_increasing_id().alias("row"), "value",
     )
-    parts = F.split(F.regexp_replace("value", r"(?s)\\.", ""), '"')
+    parts = F.split(_unescaped(F.col("value")), '"')
     lexed = rows.withColumn("parts", parts)
     return lexed.select(
         *rows.columns, ((F.size("parts") - 1) % 2).alias("flips"),

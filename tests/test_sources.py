@@ -1,12 +1,13 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.operators import runs
 from sessionloom.operators.normalize import normalize
-from sessionloom.sources import files, records, responses, runstore
+from sessionloom.sources import files, jsonsplits, records, responses, runstore
 from sessionloom.sources.files import Harness
 
 
@@ -408,3 +409,18 @@ def test_snapshots_over_many_splits(spark, tmp_path, small_splits, other):
     found = [(r.content, r.provider) for r in entries.orderBy("line_key").collect()]
     assert found == [(i["content"], "bound:" + i["metadata"]["relative_path"]) for i in items if "metadata" in i]
     assert sorted((r.failed, r.accepted) for r in status.collect()) == [(0, 24), (1, 0)]
+
+
+def test_fragments_are_lexed_as_json_is(spark, tmp_path):
+    texts = ['{"a":[1,{"b":"x', r' \"[{ \\', r'\\\" ]\n', '",[[', "]", '"é[": [', "", "[{[]"]
+    (tmp_path / "x.json").write_text("}".join(texts), encoding="utf-8")
+    rows = jsonsplits.fragments(spark, str(tmp_path), F.lit(True))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan and "regexp_replace(" not in plan
+    expected = []
+    for value in texts:
+        parts = re.sub(r"(?s)\\.", "", value).split('"')
+        depth = lambda some: sum((c in "[{") - (c in "]}") for c in "".join(some))
+        expected.append((value, (len(parts) - 1) % 2, depth(parts[::2]), depth(parts[1::2])))
+    got = rows.orderBy("split", "row").select("value", "flips", "out", "inside").collect()
+    assert [tuple(r) for r in got] == expected
