@@ -13,11 +13,13 @@ from sessionloom.operators.patterns import by_impact
 
 
 def count_row(counts: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
-    """One row with a named aggregate from each table, without joining the tables."""
-    parts = [
-        df.agg(aggregate.cast("bigint").alias("value")).select(F.lit(name).alias("name"), "value")
-        for name, (df, aggregate) in counts.items()
-    ]
+    """One row with a named aggregate from each table, without joining the tables; each is read once."""
+    tables = {id(df): df for df, _ in counts.values()}
+    parts = []
+    for key, df in tables.items():
+        own = {name: aggregate.cast("bigint").alias(name) for name, (table, aggregate) in counts.items() if id(table) == key}
+        named = [F.struct(F.lit(name).alias("name"), F.col(name).alias("value")) for name in own]
+        parts.append(df.agg(*own.values()).select(F.inline(F.array(*named))))
     long = reduce(DataFrame.unionByName, parts)
     return long.agg(
         *[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in counts]

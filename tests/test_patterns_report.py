@@ -184,3 +184,10 @@ def test_matches_move_a_bounded_part_of_the_registry(spark, tmp_path):
     assert not any(str(tmp_path) in file for file in got.inputFiles())
     first = [f"t{n:02}" for n in range(5)]
     assert {r.name: r.existing_matches for r in got.collect()} == {"a-common": first, "b-w3word-omm": first, "c-mmon": first}
+
+
+def test_counts_read_each_table_once(spark):
+    rows, other = spark.range(7), spark.range(3)
+    got = report.count_row({"n": (rows, F.count("*")), "m": (other, F.count("*")), "total": (rows, F.sum("id")), "none": (rows, F.max(F.nullif("id", "id")))})
+    assert got._jdf.queryExecution().analyzed().toString().count("Range (") == 2
+    assert got.first().asDict() == {"n": 7, "m": 3, "total": 21, "none": None}
