@@ -14,8 +14,11 @@ buckets of first bytes; the common prefixes of neighbours then give the equal
 windows, all but the first of which are removed.
 
 An anchor with more than ``WIDE`` different slices (a common line in changing
-surroundings) is not put in one block: its windows are dealt out by their own
-hashes, and equal ones are found by an aggregation.
+surroundings) is not put in one block. Its slices are cut into pieces of at most
+``PIECE`` windows, at fixed distances from the anchor; the bytes that all windows of a
+piece have in common are then most of a window, and pieces meet by them as slices do by
+their anchor. Where more than ``WIDE`` different pieces still meet, their windows are
+dealt out by their own hashes, and equal ones are found by an aggregation.
 
 Cases: null and empty texts have no bytes; texts shorter than ``LENGTH`` lose
 nothing; texts of any length are handled whole; rows that share a doc_id are one
@@ -37,7 +40,7 @@ from sessionloom.llm.shingles import BASE, mix, powers
 from sessionloom.llm.workers import fresh, per_worker, slices, table, utf8
 
 LENGTH, GRAM = 100, 32
-WIDE = 2_000
+WIDE, PIECE = 2_000, 9
 BUCKET_BYTES = 4 << 20
 BLOCK_SLICES = 8_000
 BROADCAST_IDS = 4_000_000
@@ -51,6 +54,10 @@ SPANS = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("end", pa.int32(
 SPANS_SQL = "doc bigint, start int, end int, anchor bigint"
 CUTS = pa.schema([("anchor", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("bytes", pa.binary())])
 CUTS_SQL = "anchor bigint, doc bigint, start int, bytes binary"
+PIECES = pa.schema(
+    [("anchor", pa.int64()), ("slice", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("bytes", pa.binary())]
+)
+PIECES_SQL = "anchor bigint, slice bigint, doc bigint, start int, bytes binary"
 WINDOWS = pa.schema([("one", pa.int64()), ("two", pa.int64()), ("doc", pa.int64()), ("start", pa.int32())])
 WINDOWS_SQL = "one bigint, two bigint, doc bigint, start int"
 DIGEST = pa.schema(
@@ -331,8 +338,62 @@ def _sorted_blocks(cuts: DataFrame, blocks: int, length: int) -> DataFrame:
     return dealt.groupBy("block").applyInArrow(search, SPANS_SQL)
 
 
+def _pieces(cuts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Pieces of the slices in ``cuts``, named (anchor) by the bytes that their windows share."""
+    span = min(PIECE, length)
+
+    def each(batches):
+        for batch in slices(batches, "bytes", SCAN_BYTES // 8):
+            data, offsets = utf8(batch.column("bytes"))
+            hashes, names = Hashes(data), batch.column("anchor").to_numpy().view(np.uint64)
+            # A slice's anchor is the first string of its hash; bytes cut from another text of the document have none.
+            at = np.arange(max(0, len(data) - gram + 1))
+            owner = np.searchsorted(offsets, at, "right") - 1
+            at = at[(at + gram <= offsets[owner + 1]) & (hashes.of(at, at + gram, 1) == names[owner])]
+            whole, new = np.unique(np.searchsorted(offsets, at, "right") - 1, return_index=True)
+            place, begin, end = at[new], offsets[whole], offsets[whole + 1]
+            least, most = place - (end - length), place - begin
+            good = (least >= 0) & (least <= most) & (most <= length - gram)
+            whole, place, least, most = whole[good], place[good], least[good], most[good]
+            counts = most // span - least // span + 1
+            row = np.repeat(np.arange(len(whole)), counts)
+            low = (least // span + np.cumsum(counts) - counts)[row]
+            low = (2 * (least // span)[row] + np.arange(len(row)) - low) * span
+            whole, place = whole[row], place[row]
+            begin = place - np.minimum(most[row], low + span - 1)
+            end = place - np.maximum(least[row], low) + length
+            core = hashes.of(place - low, place - low - span + 1 + length, 5)
+            raw = data.tobytes()
+            columns = {
+                "anchor": (core ^ mix(names[whole] + low.astype(np.uint64), 6)).view(np.int64),
+                "slice": (hashes.of(begin, end, 2) + (end - begin).astype(np.uint64)).view(np.int64),
+                "doc": batch.column("doc").to_numpy()[whole],
+                "start": batch.column("start").to_numpy()[whole] + begin - offsets[whole],
+                "bytes": [raw[a:b] for a, b in zip(begin.tolist(), end.tolist())],
+            }
+            yield table(columns, PIECES)
+
+    return written(cuts.select("anchor", "doc", "start", "bytes").mapInArrow(each, PIECES_SQL), "pieces")
+
+
+def _of_wide(cuts: DataFrame, length: int, gram: int, wide: int) -> DataFrame:
+    """Spans removed from the slices of anchors with very many of them."""
+    pieces = _pieces(cuts, length, gram)
+    first = pieces.groupBy("anchor", "slice").agg(F.min(F.struct("doc", "start", "bytes")).alias("first"), F.count("*").alias("n"))
+    first = written(first, "first")
+    heads = first.select("anchor", "first.*")
+    several = first.where("n > 1").select("anchor", "slice", F.struct("first.doc", "first.start").alias("first"))
+    places = pieces.select("anchor", "slice", F.struct("doc", "start").alias("place"), F.octet_length("bytes").alias("size"))
+    copies = places.join(several, ["anchor", "slice"]).where("place != first")
+    copies = copies.select("place.*", (F.col("place.start") + F.col("size")).alias("end"), F.lit(None).cast("bigint").alias("anchor"))
+    met = written(heads.groupBy("anchor").count().where("count > 1"), "met")
+    few, many = met.where(F.col("count") <= wide).select("anchor"), met.where(F.col("count") > wide).select("anchor")
+    sorted_spans = _sorted_blocks(heads.join(few, "anchor"), max(1, first.count() // BLOCK_SLICES), length)
+    return copies.unionByName(sorted_spans).unionByName(_dealt_windows(heads.join(many, "anchor"), length))
+
+
 def _dealt_windows(cuts: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of anchors with very many slices, by the windows' own hashes."""
+    """Repeated windows of pieces of which very many meet, by the windows' own hashes."""
 
     def each(batches):
         for batch in slices(batches, "bytes", SCAN_BYTES // 8):
@@ -369,7 +430,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wide
     common = cuts.join(many, "anchor", "left_anti")
     blocks = max(1, cuts.count() // BLOCK_SLICES)
     spans = found.where("anchor is null").unionByName(_sorted_blocks(common, blocks, length))
-    spans = spans.unionByName(_dealt_windows(cuts.join(many, "anchor", "left_semi"), length))
+    if many.limit(1).count():
+        spans = spans.unionByName(_of_wide(cuts.join(many, "anchor", "left_semi"), length, gram, wide))
     return written(spans, "repeats")
 
 

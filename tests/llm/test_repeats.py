@@ -65,6 +65,22 @@ def test_common_line_in_changing_surroundings(table):
     assert digested(docs, 100, wide=20) == brute(rows, 100)
 
 
+def test_common_line_is_not_dealt_out_window_by_window(table, monkeypatch):
+    dealt, deal = [], repeats._dealt_windows
+    monkeypatch.setattr(repeats, "_dealt_windows", lambda cuts, length: dealt.append(cuts.count()) or deal(cuts, length))
+    line = "This very common line stands in most of the documents."
+    rows = [(i, f"{hashlib.sha256(b'%d' % i).hexdigest()}{line}{hashlib.sha256(b'-%d' % (i // 2)).hexdigest()}") for i in range(90)]
+    assert digested(table(rows, "doc_id bigint, text string"), 100, wide=20) == brute(rows, 100)
+    assert sum(dealt) == 0
+
+
+@pytest.mark.parametrize("piece", [1, 4, 30, 200])
+def test_pieces_of_any_size_find_all_windows(table, monkeypatch, piece):
+    monkeypatch.setattr(repeats, "PIECE", piece)
+    rows = documents(piece, 60)
+    assert digested(table(rows, "doc_id bigint, text string"), 60, gram=20, wide=1) == brute(rows, 60)
+
+
 def test_odd_documents(odd_docs, odd_rows, no_docs):
     assert digested(odd_docs, 100) == brute(odd_rows, 100)
     assert repeats.repeats(no_docs).count() == 0
