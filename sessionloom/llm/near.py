@@ -354,18 +354,31 @@ def _blocks(named: DataFrame) -> DataFrame:
     )
 
 
-def _left_over(
-    pairs: DataFrame, tried: DataFrame, parts: DataFrame, classes: DataFrame, num: int, den: int, nearest: bool
-) -> DataFrame:
-    """Pairs, not yet tried, between different components inside large groups that may link.
+def _members(pairs: DataFrame) -> DataFrame:
+    """(large, node): the members of large groups.
 
-    With ``nearest`` every member gives only the pair with the nearest sketch outside
-    its component, which is enough to join most of what belongs together.
+    Groups with one first member are taken together, as one group of all their members,
+    where that takes no more comparisons than they take one by one.
     """
     large = pairs.where("large is not null")
-    members = large.select("large", F.col("b").alias("node")).unionByName(
-        large.select("large", F.col("a").alias("node"))
-    ).distinct()
+    apart = large.groupBy("a", "large").agg((F.count("*") + 1).cast("double").alias("n"))
+    apart = apart.groupBy("a").agg(F.sum(F.col("n") * F.col("n")).alias("apart"), F.count("*").alias("groups"))
+    together = large.select("a", "b").distinct().groupBy("a").agg((F.count("*") + 1).cast("double").alias("n"))
+    merged = apart.where("groups > 1").join(together, "a").where("n * n <= apart").select("a", F.xxhash64("a").alias("all"))
+    named = large.join(_few(written(merged, "merged")), "a", "left").withColumn("large", F.coalesce("all", "large"))
+    members = named.select("large", F.col("b").alias("node")).unionByName(named.select("large", F.col("a").alias("node")))
+    return written(members.distinct(), "members")
+
+
+def _met(
+    members: DataFrame, parts: DataFrame, classes: DataFrame, num: int, den: int, nearest: bool
+) -> DataFrame:
+    """Pairs (large, node, other) between different components inside large groups that may link.
+
+    With ``nearest`` every member that has such pairs gives only the one with the nearest
+    sketch in each pair of blocks, which is enough to join most of what belongs together.
+    Members that give none have no pair later either, as components only grow.
+    """
     named = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     found = pa.schema([("large", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("distance", pa.int64())])
 
@@ -398,6 +411,11 @@ def _left_over(
     mixed = _blocks(named).join(classes.select("node", "n_shingles", "parity"), "node")
     mixed = mixed.select("large", "low", "high", "cell", "node", "component", "n_shingles", "parity")
     met = mixed.groupBy("large", "low", "high").applyInArrow(cross, "large bigint, node bigint, other bigint, distance bigint")
+    return written(met, "met")
+
+
+def _left_over(met: DataFrame, tried: DataFrame, nearest: bool) -> DataFrame:
+    """The distinct pairs (a, b) of ``met``, of each member the nearest only if ``nearest``, not yet tried."""
     if nearest:
         met = met.groupBy("large", "node").agg(F.min_by("other", F.struct("distance", "other")).alias("other"))
     found_pairs = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
@@ -425,9 +443,11 @@ def near_duplicates(
     links = verify(distinct)
     parts = components(links)
     # Nearest pairs first; the last round takes all pairs that are then left.
-    tried = pairs.select("a", "b")
+    tried, members = pairs.select("a", "b"), _members(pairs)
     for nearest in (True, True, False):
-        more = written(_left_over(pairs, tried, parts, classes, num, den, nearest), "more")
+        met = _met(members, parts, classes, num, den, nearest)
+        members = met.select("large", "node").distinct()
+        more = written(_left_over(met, tried, nearest), "more")
         if more.limit(1).count():
             links = links.unionByName(verify(more))
             parts = components(links)

@@ -100,6 +100,29 @@ def test_large_groups_are_compared_in_bounded_blocks(spark, table, monkeypatch):
                 assert part[g, a] == part[g, b] or (g, b, a) in met
 
 
+def test_groups_of_one_first_member_are_taken_together(table):
+    alike = [(0, b, g) for g in range(1, 6) for b in range(1, 20 + g)]
+    apart = [(100, 1000 * g + b, 10 * g) for g in range(1, 6) for b in range(20)]
+    groups = {}
+    for r in near._members(table(alike + apart + [(7, 8, None)], "a bigint, b bigint, large bigint")).collect():
+        groups.setdefault(r["large"], []).append(r["node"])
+    assert sorted(map(sorted, groups.values())) == sorted(
+        [list(range(25)), *([100, *range(1000 * g, 1000 * g + 20)] for g in range(1, 6))]
+    )
+
+
+def test_large_groups_of_far_copies_give_few_rows(table, monkeypatch):
+    # Copies with words of their own: they share many keys, and few or none of them link.
+    met, written = [], near.written
+    monkeypatch.setattr(near, "written", lambda df, name: written(df, name) if name != "met" else met.append(written(df, name)) or met[-1])
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(edited(rng, base, 9 + i % 5))) for i in range(150)]
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_duplicates(table(rows, "doc_id bigint, text string")).collect()}
+    assert out == brute(rows, 4, 85, 100)
+    assert met and sum(m.count() for m in met) < 10 * len(rows)
+
+
 @pytest.mark.parametrize("block", [3, 10])
 def test_blocks_lose_no_link(table, monkeypatch, block):
     monkeypatch.setattr(near, "SMALL_GROUP", 2)
