@@ -39,6 +39,7 @@ empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ from pyspark.sql import functions as F
 from sessionloom.llm.components import components
 from sessionloom.llm.packing import written
 from sessionloom.llm.shingles import mix, sets
-from sessionloom.llm.workers import slices, table, utf8
+from sessionloom.llm.workers import cuts, slices, table, utf8
 
 WIDTH, NUM, DEN = 4, 85, 100
 BAND, SLACK = 1.25, 0.1
@@ -60,6 +61,7 @@ BUCKET_BYTES = 8 << 20
 KEY_BYTES = 5
 PARITY_BITS = 1 << 16
 BROADCAST_ROWS = 4_000_000
+SET_BYTES = 1 << 20
 
 FEATURES_SQL = (
     "doc_id bigint, n_shingles bigint, node bigint, parity binary, bucket int, keys binary, nodes binary"
@@ -72,6 +74,12 @@ PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("large", pa.int64())])
 PAIRS_SQL = "a bigint, b bigint, large bigint"
 
 
+def _sets(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
+    """The shingle sets of a batch's texts, a few texts at a time: hashing takes many times their bytes."""
+    for part in cuts(batch, SET_BYTES):
+        yield from sets(*utf8(part.column("text")), width)
+
+
 def class_of(shingles: np.ndarray) -> int:
     """Signed 64-bit name of a set, the same for equal sets."""
     total = mix(shingles, 3).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(shingles))
@@ -100,7 +108,7 @@ def common_shingles(docs: DataFrame, rows: int, width: int) -> np.ndarray:
 
     def scan(batches):
         for batch in slices(batches):
-            for own in sets(*utf8(batch.column("text")), width):
+            for own in _sets(batch, width):
                 yield table({"shingle": own.view(np.int64)}, schema)
 
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows // COMMON_DOCUMENTS))) == 0)
@@ -170,10 +178,9 @@ def _features(
     def scan(batches):
         common = shared.value
         for batch in slices(batches):
-            data, offsets = utf8(batch.column("text"))
             names, sizes, nodes, keys, owners, short = batch.column("doc_id"), [], [], [], [], []
             seen: set[int] = set()
-            for own in sets(data, offsets, width):
+            for own in _sets(batch, width):
                 node = class_of(own)
                 sizes.append(len(own))
                 nodes.append(node)
@@ -302,7 +309,7 @@ def _verified(
 
     def collect(batches):
         for batch in slices(batches):
-            own = list(sets(*utf8(batch.column("text")), width))
+            own = list(_sets(batch, width))
             yield table({"node": [class_of(s) for s in own], "shingles": [_short(s) for s in own]}, schema)
 
     texts = docs.select("doc_id", "text").join(_few(asked.select("doc_id").distinct()), "doc_id", "left_semi")

@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from sessionloom.llm.workers import table
+from sessionloom.llm.workers import slices, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "account", "secret")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 NEAR, ACCEPT = 40, 0.6
+MASK_BYTES = 1 << 20
 POINTS = {"email": 0.9, "ip": 0.7, "card": 0.4, "phone": 0.6, "iban": 0.3, "account": 0.1, "secret": 0.4}
 CHECKED = {"card": 0.4, "iban": 0.4, "account": 0.3}
 CONTEXT_POINTS = 0.3
@@ -159,12 +160,16 @@ def find(docs: DataFrame, text: str = "text", name: str = "pii") -> DataFrame:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the spans of ``text`` masked; a null text stays null."""
 
-    @pandas_udf("string")
-    def mask(texts: pd.Series) -> pd.Series:
+    docs = docs.withColumn(text, F.col(text).cast("string"))
+
+    def mask(batches):
         spans = finder()
-        return texts.map(lambda t: t if not t else masked(t, spans(t)))
+        for batch in slices(batches, text, MASK_BYTES):
+            place = batch.schema.get_field_index(text)
+            texts = [t if not t else masked(t, spans(t)) for t in batch.column(place).to_pylist()]
+            yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
 
-    return docs.withColumn(text, mask(F.col(text)))
+    return docs.mapInArrow(mask, docs.schema)
 
 
 DIGEST = pa.schema(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -34,19 +35,32 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give the system back what earlier tasks of this reused worker have freed."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+
 def slices(
     batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES
 ) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a piece holds about ``limit`` bytes of text, or one longer row."""
+    release()
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0)
-        ends = np.cumsum(sizes.to_numpy(zero_copy_only=False) + 64)
-        start = 0
-        while start < batch.num_rows:
-            before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+        yield from cuts(batch, limit, column)
+
+
+def cuts(batch: pa.RecordBatch, limit: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The pieces of one batch, as ``slices`` cuts it."""
+    sizes = pa.compute.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0)
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False) + 64)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def fresh(name: str, columns: list[str]) -> str:

@@ -87,3 +87,13 @@ def test_spans_column(table):
     found = pii.find(table([(1, "a@b.cc"), (2, None)], "doc_id int, text string")).orderBy("doc_id").collect()
     assert [(s["kind"], s["start"], s["end"]) for s in found[0]["pii"]] == [("email", 0, 6)]
     assert found[1]["pii"] == []
+
+
+def test_texts_are_masked_a_few_at_a_time(table, monkeypatch):
+    monkeypatch.setattr(pii, "MASK_BYTES", 300)
+    rows = [(i, f"mail a{i}@b.example now " * (i % 9) if i % 4 else None, i) for i in range(80)]
+    out = pii.redact(table(rows, "doc_id bigint, text string, n int"))
+    assert out.columns == ["doc_id", "text", "n"]
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()  # whole batches of texts as pandas rows
+    want = {i: (None if t is None else t.replace(f"a{i}@b.example", "[EMAIL]"), n) for i, t, n in rows}
+    assert {r["doc_id"]: (r["text"], r["n"]) for r in out.collect()} == want
