@@ -205,3 +205,33 @@ def test_components_of_chains_stars_and_loops(spark):
     out = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert out == {**{i: 0 for i in range(41)}, **{j: 100 for j in range(100, 160)}, 300: 300, 301: 300}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    monkeypatch.setattr("sessionloom.llm.components.written", None)  # a round writes its edges
+    edges = [(j, 100) for j in range(101, 160)] + [(7, 5), (5, 7), (8, 8)]
+    out = sorted(tuple(r) for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
+    assert out == [(5, 5), (7, 5)] + [(j, 100) for j in range(100, 160)]
+
+
+def test_new_links_join_components(table):
+    parts = table([(1, 1), (2, 1), (3, 1), (5, 5), (6, 5), (30, 30), (31, 30)], "node bigint, component bigint")
+    links = table([(3, 6), (9, 8), (9, 5), (2, 3), (20, 21)], "a bigint, b bigint")
+    out = sorted(tuple(r) for r in near._grown(parts, links).collect())
+    assert out == [(i, 1) for i in (1, 2, 3, 5, 6, 8, 9)] + [(20, 20), (21, 20), (30, 30), (31, 30)]
+
+
+@pytest.mark.parametrize("shares", [(0, 3, float("inf")), (float("inf"),), (0, 0, float("inf"))])
+def test_components_are_found_anew_only_for_new_links(table, monkeypatch, shares):
+    monkeypatch.setattr(near, "SHARES", shares)
+    links, joined, verified = [], [], near._verified
+    monkeypatch.setattr(near, "_verified", lambda *a: links.append(verified(*a)) or links[-1])
+    monkeypatch.setattr(near, "components", lambda edges: joined.append(1) or components(edges))
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(edited(rng, base, 9 + i % 5))) for i in range(150)]
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_duplicates(table(rows, "doc_id bigint, text string")).collect()}
+    assert out == brute(rows, 4, 85, 100)
+    found = [x.count() for x in links]
+    assert len(joined) == 1 + sum(n > 0 for n in found[1:])
+    assert len(found) > 1
