@@ -141,9 +141,10 @@ def by_time(events: DataFrame) -> DataFrame:
 def clusters(events: DataFrame) -> DataFrame:
     """Category totals with at least two events (at most eight rows)."""
     count = F.col("events")
-    totals = events.groupBy("category").agg(
-        F.count("*").alias("events"), F.avg("severity").alias("avg_severity")
-    )
+    # Averaged as decimals: sums of doubles differ with the tasks they are added up in, and candidates of equal
+    # confidence would be ordered by that difference.
+    severity = F.avg(F.col("severity").cast("decimal(20,18)")).cast("double")
+    totals = events.groupBy("category").agg(F.count("*").alias("events"), severity.alias("avg_severity"))
     return (
         totals.where(count >= 2)
         .withColumn("name", mapped(F.col("category"), SUGGESTED_NAME))

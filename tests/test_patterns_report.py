@@ -104,6 +104,13 @@ def test_steering(spark, text, category):
     assert got == ([category] if category else [])
 
 
+@pytest.mark.parametrize("tasks", [1, 7, 12])
+def test_equal_severities_average_to_themselves_in_any_number_of_tasks(spark, tasks):
+    rows = spark.range(0, 8_334, 1, tasks).select(F.lit("MissingTool").alias("category"), F.lit(0.8).alias("severity"))
+    (got,) = steering.clusters(rows).collect()
+    assert (got.events, got.avg_severity, got.confidence) == (8_334, 0.8, 0.9)
+
+
 def test_one_suggestion_per_name_highest_impact_first(spark):
     got, _ = build(
         spark,
